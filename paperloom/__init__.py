@@ -1 +1,11 @@
 """Documentation retrieval and training-data preparation on PySpark."""
+
+from pathlib import Path
+
+
+def ensure_importable(spark) -> None:
+    """Lets Python workers import this package where the driver found it; on a cluster it is shipped with --py-files."""
+    environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if here not in paths:
+        environment["PYTHONPATH"] = ":".join([here, *filter(None, paths)])
