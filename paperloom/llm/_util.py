@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom import ensure_importable
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of every text rule here: runs of anything but ASCII blanks; the same as bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +46,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        ensure_importable(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         _made.append((spark, self.path))
 
@@ -94,18 +97,19 @@ def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]
         yield i, len(texts)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join of rows with one row per key, safe against hot keys.
 
     `n` counts a key's rows and sums to at most `total`; keys above total/1000 are at most 1000, hence broadcast
     whatever the size of the data, and every other key is small enough for one task of a shuffled join.
     """
+    keys = [key] if isinstance(key, str) else key
     limit = max(total // 1000, 20_000)
     hot = groups.filter(F.col(n) > limit)
     if hot.isEmpty():
-        return rows.join(groups, key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(n) <= limit), key)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
+        return rows.join(groups, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(n) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
 def row_key() -> list:
