@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact, minhash, mixing, packing, suffix
+from . import dsir, exact, minhash, mixing, packing, quality, suffix
 
-_MODULES = [packing, mixing, suffix, minhash, exact]
+_MODULES = [packing, mixing, suffix, quality, minhash, dsir, exact]
 
 QUERIES = {m.QUERY: m.query for m in _MODULES}
 ORACLES = {m.QUERY: m.ORACLE for m in _MODULES if hasattr(m, "ORACLE")}
