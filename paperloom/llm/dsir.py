@@ -18,6 +18,7 @@ _U = np.uint64
 CHARS, SHAPES = 1 << 16, 1 << 12
 #: Labelled documents that the target model and the threshold are fitted on, at most.
 MAX_LABELLED = 200_000
+SCALE = 100.0
 _CASE = np.zeros(256, np.int64)
 _CASE[65:91], _CASE[0xC3], _CASE[128:0xC3], _CASE[0xC4:] = 1, 2, 2, 2
 _LAST = np.zeros(256, np.int64)
@@ -79,14 +80,18 @@ def _gumbel(key: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _weigh(ratio: np.ndarray, seed: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Log importance weight of each text, alone and with its Gumbel noise."""
+    """Log importance weight of each text, alone and with its Gumbel noise.
+
+    The log ratio is taken for each n-gram on average and scaled by SCALE: summed over a text, the small errors of
+    the models would make long texts' weights differ by more than any junk in short ones.
+    """
     texts = raw_texts(batch.column("text"))
     out = np.zeros(len(texts))
     for i, j in slices(texts):
         chars, at, shapes, bt = features(texts[i:j])
         for x, edges in ((ratio[chars], at), (ratio[CHARS + shapes], bt)):
             sums = np.concatenate([[0.0], np.cumsum(x)])
-            out[i:j] += sums[edges[1:]] - sums[edges[:-1]]
+            out[i:j] += SCALE * (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(np.diff(edges), 1)
     return out, out + _gumbel(batch.column("__h").to_numpy(), seed)
 
 
@@ -165,7 +170,7 @@ class Sampler:
         return docs.withColumn("__h", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).select(*columns, "__h").mapInArrow(run, docs.schema)
 
 
-def sampler(docs: DataFrame, labels: DataFrame, recall: float = 0.999, margin: float = 5.0, seed: int = 0, max_labelled: int = MAX_LABELLED) -> tuple[Sampler, DataFrame]:
+def sampler(docs: DataFrame, labels: DataFrame, recall: float = 0.999, margin: float = 10.0, seed: int = 0, max_labelled: int = MAX_LABELLED) -> tuple[Sampler, DataFrame]:
     """(fitted sampler, its weights of all documents).
 
     k, the size of the sample, is the number of documents whose log weight is not `margin` below what all but
