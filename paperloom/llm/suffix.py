@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import Workspace, arrow_rows, documents, join_groups, raw_texts, row_key, slices
-from .hashing import SLICE, Substrings, mix
+from .hashing import Substrings, mix
 
 QUERY = "op3_suffix_dedup"
 _U = np.uint64
+#: Bytes that one vectorised pass covers; it holds some hundred times as many.
+SLICE = 1 << 20
 _POSITION = _U((1 << 23) - 1)
 
 
@@ -70,7 +72,7 @@ def _runs(size: int, digit: int):
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = raw_texts(batch.column("text"))
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE):
             some = batch.slice(i, j - i)
             if len(texts[i]) > 2 * SLICE:  # alone in its slice; windows of one part at a time
                 for at in range(0, len(texts[i]) - size + 1, SLICE):
@@ -110,8 +112,8 @@ def _digits(size: int, width: int, leaves: bool):
     wanted blocks. `core` hashes what all windows of a block share, `span` all that the run's own windows there cover."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 4096):
-            yield from some(batch.slice(at, 4096))
+        for at in range(0, batch.num_rows, 1024):
+            yield from some(batch.slice(at, 1024))
 
     def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         blobs = batch.column("blob").to_pylist()
