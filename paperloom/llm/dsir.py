@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom import ensure_importable
+
 from ._util import Workspace, documents, raw_texts, row_key, slices
 from .hashing import Substrings, mix, word_bounds
 
@@ -106,6 +108,7 @@ def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
 
     Each task sends at most CHARS + SHAPES rows and the model has as many entries, whatever the input.
     """
+    ensure_importable(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
     counts = rows.mapInArrow(_counted(target), "bucket long, raw long, target long")
     total = np.zeros((2, CHARS + SHAPES))

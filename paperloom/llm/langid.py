@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom import ensure_importable
+
 from ._util import documents
 
 QUERY = "op7_language_id"
@@ -126,6 +128,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     with score 0, as does a model without languages; equal scores give the first language by name.
     An empty table gives no rows; repeated rows are predicted alike; other columns play no part.
     """
+    ensure_importable(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +142,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paperloom import ensure_importable
-
-    ensure_importable(spark)
     docs = documents(spark, sf_dir)
     return predict(docs, fit(docs.filter(~held_out())))

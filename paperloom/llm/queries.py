@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dsir, exact, langid, minhash, mixing, packing, quality, suffix
+from . import dsir, exact, langid, lmscore, minhash, mixing, packing, quality, suffix, toxicity
 
-_MODULES = [packing, mixing, suffix, quality, minhash, dsir, langid, exact]
+_MODULES = [packing, mixing, suffix, quality, minhash, dsir, langid, toxicity, exact, lmscore]
 
 QUERIES = {m.QUERY: m.query for m in _MODULES}
 ORACLES = {m.QUERY: m.ORACLE for m in _MODULES if hasattr(m, "ORACLE")}
