@@ -1 +1 @@
-
+"""Column -> Column functions; all run in the JVM."""

@@ -1 +1 @@
-
+"""Part of paperloom."""
