@@ -77,7 +77,7 @@ def code_blocks(markdown: Column) -> Column:
     pattern = F.lit(r"(?s)```(\w*)\n(.*?)```")
     both = F.arrays_zip(F.regexp_extract_all(markdown, pattern, 1).alias("l"), F.regexp_extract_all(markdown, pattern, 2).alias("c"))
     return F.transform(both, lambda x: F.struct(
-        F.when(x["0"] == "", "text").otherwise(x["0"]).alias("language"), F.regexp_replace(x["1"], r"^\n+|\n+$", "").alias("content")))
+        F.when(x["l"] == "", "text").otherwise(x["l"]).alias("language"), F.regexp_replace(x["c"], r"^\n+|\n+$", "").alias("content")))
 
 
 def code_languages(text: Column) -> Column:

@@ -43,6 +43,10 @@ def _any(text: Column, needles: str) -> Column:
     return out
 
 
+def _some(texts: Column, pattern: str) -> Column:
+    return F.exists(texts, lambda x: x.rlike("(?i)" + pattern))
+
+
 def signals(url: Column, title: Column, headings: Column, markdown: Column, code_chars: Column, breadcrumb: Column, meta: Column) -> list[tuple[float, dict[str, Column]]]:
     """(weight, page type -> value in [0, 1], null where there is none) of each of the six signals."""
     hit = lambda c: F.when(c, 1.0)
@@ -61,7 +65,7 @@ def signals(url: Column, title: Column, headings: Column, markdown: Column, code
     return [
         (0.30, {t: hit(_any(at, _FOLDERS[t])) for t in PAGE_TYPES}),
         (0.25, {t: hit(_any(low, _TITLES[t])) for t in PAGE_TYPES}),
-        (0.20, {t: hit(F.exists(headings, lambda h, p=p: h.rlike("(?i)" + p))) for t, p in _HEADINGS.items()}),
+        (0.20, {t: hit(_some(headings, p)) for t, p in _HEADINGS.items()}),
         (0.10, code),
         (0.10, {t: hit(_any(crumbs, _TITLES[t]) & (F.size(breadcrumb) > 0)) for t in PAGE_TYPES}),
         (0.05, metas),

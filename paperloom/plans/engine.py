@@ -116,13 +116,12 @@ class Engine:
             "crawl_timestamp": F.current_timestamp(), "producer_version": F.lit(PRODUCER),
         })
 
-    def _embed_and_store(self, chunks: DataFrame, model: str) -> int:
-        done, new = embed.embed_chunks(chunks, self.tables.read("embedding_cache"), model)
+    def _embed_and_store(self, chunks: DataFrame, model: str) -> None:
+        """New texts into the cache first, so that every text is embedded once and a run that breaks off loses none."""
+        _, new = embed.embed_chunks(chunks, self.tables.read("embedding_cache"), model)
         self.tables.upsert("embedding_cache", new)
         done, _ = embed.embed_chunks(chunks, self.tables.read("embedding_cache"), model)
-        rows = done.withColumns({"embedding_model": F.lit(model), "embedding_dimension": F.size("vector"), "model_hash": ids.model_key(F.lit(model))})
-        self.tables.upsert("vectors", rows)
-        return self.tables.read("vectors").filter((F.col("model_hash") == ids.model_key(F.lit(model))) & (F.col("software") == chunks.select("software").first()[0]) if not chunks.isEmpty() else F.lit(False)).count()
+        self.tables.upsert("vectors", done.withColumns({"embedding_model": F.lit(model), "embedding_dimension": F.size("vector"), "model_hash": ids.model_key(F.lit(model))}))
 
     def _state(self, chunks: DataFrame, fetches: DataFrame, software: str, version: str) -> None:
         self.tables.upsert("chunk_state", chunks.select("chunk_id", F.col("url").alias("page_url"), "content_hash", "software", "version"))
@@ -173,11 +172,11 @@ class Engine:
                 exclude = [p.replace("{version}", version) for p in entry["exclude"]]
                 c = self.config["crawler"]
                 pages = crawl.crawl(self.tables, [f"{base}{version}/"], fetch, None, include, exclude, c["max_pages"], c["max_depth"]).filter("status_code < 400")
-            chunks = self.process(pages, software, version, (entry or {}).get("content_selectors"), (entry or {}).get("page_type_hints"))
-            # chunks are read four times from here on: written once, by state, cache and vectors
+            chunks = self.tables.stage(self.process(pages, software, version, (entry or {}).get("content_selectors"), (entry or {}).get("page_type_hints")))
             self._state(chunks, pages, software, version)
             r.pages = pages.count()
-            r.embedded = self._embed_and_store(chunks, model)
+            r.embedded = chunks.count()
+            self._embed_and_store(chunks, model)
             self._finish(r, entry, model)
         except Exception as e:
             r.status, r.error = "failed", str(e)[:2000]
@@ -206,7 +205,7 @@ class Engine:
                 seen = pages.select(F.col("url").alias("loc"), F.lit(None).cast("string").alias("lastmod"), F.lit(0).alias("seq"))
                 delta = changes.detect_changes(seen, state)
             touched = pages.join(delta.filter("change_type in ('new', 'changed')").select("url"), "url", "left_semi")
-            chunks = self.process(touched, name, version, (entry or {}).get("content_selectors"), (entry or {}).get("page_type_hints"))
+            chunks = self.tables.stage(self.process(touched, name, version, (entry or {}).get("content_selectors"), (entry or {}).get("page_type_hints")))
             removed = delta.filter("change_type = 'removed'").select("url")
             old = self.tables.read("chunk_state").filter(mine)
             affected = old.join(touched.select(F.col("url").alias("page_url")), "page_url", "left_semi")
@@ -219,11 +218,9 @@ class Engine:
             chunk_rows = changes.upsert(self.tables.read("chunk_state").join(gone, "chunk_id", "left_anti"), chunks.select("chunk_id", F.col("url").alias("page_url"), "content_hash", "software", "version"), ["chunk_id"])
             page_rows = self.tables.read("page_state").join(removed.withColumn("software", F.lit(name)), ["url", "software"], "left_anti")
             # everything above reads the old snapshots; pointers move from here on
+            self.tables.replace("vectors", kept)
             if r.embedded:
-                self.tables.replace("vectors", kept)
                 self._embed_and_store(fresh, model)
-            else:
-                self.tables.replace("vectors", kept)
             self.tables.replace("page_state", page_rows)
             self._state(chunks, touched, name, version)
             self.tables.replace("chunk_state", chunk_rows)

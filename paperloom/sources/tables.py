@@ -66,6 +66,12 @@ class Tables:
         n = int(old[-1].split("-")[1]) + 1 if old else 0
         self._fs.create(self._path(f"{self.root}/{name}/current-{n:012d}-{at}")).close()
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """Rows written once, for plans that read them several times; under staging, until vacuum("staging")."""
+        path = f"{self.root}/staging/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def upsert(self, name: str, rows: DataFrame) -> None:
         self.replace(name, upsert(self.read(name), rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns), KEYS[name]))
 
@@ -75,9 +81,9 @@ class Tables:
 
     def vacuum(self, name: str) -> None:
         """Deletes all snapshots but the current one."""
-        keep = self._snapshot(name)
+        keep = None if name == "staging" else self._snapshot(name)
         for x in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            if keep and keep not in x.getPath().getName():
+            if name == "staging" or keep and keep not in x.getPath().getName():
                 self._fs.delete(x.getPath(), True)
 
 
