@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import Workspace, arrow_rows, documents, join_groups, raw_texts, row_key, slices
-from .hashing import _BASES, Substrings, mix, word_bounds
+from .hashing import Substrings, _power, mix, word_bounds
 
 QUERY = "op4_quality_rules"
 _U = np.uint64
@@ -30,11 +30,9 @@ def _per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _sequence(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the word hashes [start, end)."""
-    base = int(_BASES[1])
-    up = np.multiply.accumulate(np.concatenate([[1], np.full(len(h), base, _U)]).astype(_U))
-    down = np.multiply.accumulate(np.concatenate([[1], np.full(len(h), pow(base, -1, 1 << 64), _U)]).astype(_U))
+    up, down = _power(1, len(h))
     total = np.zeros(len(h) + 1, _U)
-    np.cumsum(h * up[:-1], out=total[1:])
+    np.cumsum(h * up[: len(h)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
 
 

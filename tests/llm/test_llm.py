@@ -226,8 +226,8 @@ def test_schedule_carries_deficits(weights):
     served = plan.served(at)
     assert (served.sum(1) == at).all() and (np.diff(served, axis=0) >= 0).all() and (served[-1] == plan.tokens).all()
     share = plan.weights / plan.weights.sum()
-    early = served[:20]
-    assert np.abs(early - at[:20, None] * share).max() <= 4 + 1
+    open_ = ((served < plan.tokens) | (plan.weights < 1e-6)).all(1)  # until a queue runs dry
+    assert np.abs(served - at[:, None] * share)[open_].max() <= 4 + 1 and open_.sum() > 10
 
 
 def test_ids_equal_the_library():
