@@ -86,7 +86,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of texts of about `most` bytes together, at least one text each; keeps vectorised passes small."""
     i = total = 0
     for j, t in enumerate(texts):

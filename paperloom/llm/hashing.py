@@ -11,7 +11,7 @@ _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Text that one pass covers; arrays take some 50 times as many bytes.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -127,7 +127,7 @@ def _removed(ws: Workspace, rows: DataFrame, bad: DataFrame) -> DataFrame:
     return counted.groupBy("uid").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
 
 
-def verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, depleted: int = 80, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, depleted: int = 90, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """One row per document: doc_id, __h, the counts, base_failed, n_removed_words, kept, gone (hashes of its lines that go).
 
     Words are runs without ASCII blanks. base_failed: fewer than min_words words, or more than max_repeat percent of
