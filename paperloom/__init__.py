@@ -9,3 +9,9 @@ def ensure_importable(spark) -> None:
     paths = environment.get("PYTHONPATH", "").split(":")
     if here not in paths:
         environment["PYTHONPATH"] = ":".join([here, *filter(None, paths)])
+
+
+def spread(df):
+    """A scan of fewer splits than the cluster has cores, over all cores; such a scan is small, others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

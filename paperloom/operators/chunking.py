@@ -219,7 +219,8 @@ def chunk_pages(pages: DataFrame, target: int = 512, most: int = 1024, least: in
         ])
 
     rest = [c for c in pages.columns if c not in ("markdown", "headings", "code_blocks", "raw_metadata")]
-    out = pages.select(*rest, cut("markdown", "title", "page_type").alias("__c"))
+    # said to be non-deterministic, else it also runs for the filter that posexplode implies
+    out = pages.select(*rest, cut.asNondeterministic()("markdown", "title", "page_type").alias("__c"))
     out = out.select(*rest, F.size("__c").alias("total_chunks"), F.posexplode("__c").alias("chunk_index", "__x"))
     return out.select(*rest, "__x.section_heading", "chunk_index", "total_chunks", (F.size("__x.code_languages") > 0).alias("has_code"), "__x.code_languages", "__x.content")
 

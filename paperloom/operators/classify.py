@@ -47,46 +47,50 @@ def _some(texts: Column, pattern: str) -> Column:
     return F.exists(texts, lambda x: x.rlike("(?i)" + pattern))
 
 
-def signals(url: Column, title: Column, headings: Column, markdown: Column, code_chars: Column, breadcrumb: Column, meta: Column) -> list[tuple[float, dict[str, Column]]]:
-    """(weight, page type -> value in [0, 1], null where there is none) of each of the six signals."""
+def inputs(url: Column, title: Column, markdown: Column, code_chars: Column, breadcrumb: Column, meta: Column) -> dict[str, Column]:
+    """What the signals read, as columns of their own: each is used many times and computed once."""
+    pairs = F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return {
+        "__path": F.lower(U.path(url)), "__title": F.lower(title), "__ratio": code_chars / F.greatest(F.length(markdown), F.lit(1)),
+        "__crumbs": F.coalesce(F.lower(F.array_join(breadcrumb, " ")), F.lit("")), "__meta": F.coalesce(F.lower(F.array_join(pairs, " ")), F.lit("")),
+    }
+
+
+def signals(headings: Column) -> list[tuple[float, dict[str, Column]]]:
+    """(weight, page type -> value in [0, 1], null where there is none) of each of the six signals, over inputs()."""
     hit = lambda c: F.when(c, 1.0)
-    at, low, crumbs = F.lower(U.path(url)), F.lower(title), F.lower(F.array_join(breadcrumb, " "))
-    ratio = code_chars / F.greatest(F.length(markdown), F.lit(1))
+    ratio, pairs = F.col("__ratio"), F.col("__meta")
     high, some = ratio > 0.4, (ratio <= 0.4) & (ratio > 0.1)
     code = dict(
         examples=F.when(high, F.least(ratio, F.lit(1.0))), api_reference=F.when(high, ratio * 0.7), tutorial=F.when(some, ratio * 1.5),
         guide=F.when(some, ratio).when(ratio <= 0.1, 1 - ratio), concepts=F.when(ratio <= 0.1, 1 - ratio),
     )
-    pairs = F.lower(F.array_join(F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), " "))
     metas, before = {}, F.lit(False)
     for kind, needles in _METAS:
         metas[kind] = hit(_any(pairs, needles) & ~before)
         before = before | _any(pairs, needles)
     return [
-        (0.30, {t: hit(_any(at, _FOLDERS[t])) for t in PAGE_TYPES}),
-        (0.25, {t: hit(_any(low, _TITLES[t])) for t in PAGE_TYPES}),
+        (0.30, {t: hit(_any(F.col("__path"), _FOLDERS[t])) for t in PAGE_TYPES}),
+        (0.25, {t: hit(_any(F.col("__title"), _TITLES[t])) for t in PAGE_TYPES}),
         (0.20, {t: hit(_some(headings, p)) for t, p in _HEADINGS.items()}),
         (0.10, code),
-        (0.10, {t: hit(_any(crumbs, _TITLES[t]) & (F.size(breadcrumb) > 0)) for t in PAGE_TYPES}),
+        (0.10, {t: hit(_any(F.col("__crumbs"), _TITLES[t])) for t in PAGE_TYPES}),
         (0.05, metas),
     ]
 
 
-def score(signal: list[tuple[float, dict[str, Column]]], threshold: float = 0.70) -> Column:
-    """struct(page_type, confidence): the largest weighted sum; of equal ones the type whose first signal came first."""
+def best(signal: list[tuple[float, dict[str, Column]]]) -> Column:
+    """struct(__sum, __order, __type): the largest weighted sum; of equal ones the type whose first signal came first."""
     options = []
     for k, kind in enumerate(PAGE_TYPES):
+        own = [(n, w, v[kind]) for n, (w, v) in enumerate(signal) if kind in v]
         total, first = F.lit(0.0), F.lit(99)
-        for n, (weight, values) in reversed(list(enumerate(signal))):
-            if kind in values:
-                first = F.when(values[kind].isNotNull(), n).otherwise(first)
-        for weight, values in signal:
-            if kind in values:
-                total = total + F.coalesce(values[kind], F.lit(0.0)) * weight
-        options.append(F.struct(total.alias("s"), (-(first * 100 + k)).alias("o"), F.lit(kind).alias("t")))
-    best = F.array_max(F.array(*options))
-    sure = best["s"] >= threshold
-    return F.struct(F.when(sure, best["t"]).otherwise("unknown").alias("page_type"), F.when(sure, F.least(best["s"], F.lit(1.0))).otherwise(0.0).alias("confidence"))
+        for n, weight, value in own:
+            total = total + F.coalesce(value, F.lit(0.0)) * weight
+        for n, _, value in reversed(own):
+            first = F.when(value.isNotNull(), n).otherwise(first)
+        options.append(F.struct(total.alias("__sum"), (-(first * 100 + k)).alias("__order"), F.lit(kind).alias("__type")))
+    return F.array_max(F.array(*options))
 
 
 def hinted(url: Column, hints: dict[str, list[str]]) -> Column:
@@ -100,9 +104,15 @@ def hinted(url: Column, hints: dict[str, list[str]]) -> Column:
 
 
 def classify(pages: DataFrame, hints: dict[str, list[str]] | None = None, threshold: float = 0.70) -> DataFrame:
-    """pages (url, title, headings, markdown, code_blocks, breadcrumb, raw_metadata) with page_type and confidence."""
+    """pages (url, title, headings, markdown, code_blocks, breadcrumb, raw_metadata) with page_type and confidence.
+
+    A hint's type has confidence 1; else the best scored one if it reaches the threshold; else unknown with 0.
+    """
     code = F.aggregate(F.transform("code_blocks", lambda b: F.length(b["content"])), F.lit(0), lambda a, x: a + x)
-    scored = score(signals(F.col("url"), F.col("title"), F.col("headings"), F.col("markdown"), code, F.col("breadcrumb"), F.col("raw_metadata")), threshold)
-    hint = hinted(F.col("url"), hints or {})
-    out = pages.withColumn("__s", scored).withColumn("page_type", F.coalesce(hint, F.col("__s.page_type")))
-    return out.withColumn("confidence", F.when(hint.isNotNull(), 1.0).otherwise(F.col("__s.confidence"))).drop("__s")
+    rows = pages.withColumns(inputs(F.col("url"), F.col("title"), F.col("markdown"), code, F.col("breadcrumb"), F.col("raw_metadata")))
+    # a generator of one row keeps the optimizer from repeating the whole score wherever it is read
+    rows = rows.select("*", F.inline(F.array(best(signals(F.col("headings"))))))
+    sure, hint = F.col("__sum") >= threshold, hinted(F.col("url"), hints or {})
+    kind = F.coalesce(hint, F.when(sure, F.col("__type")), F.lit("unknown"))
+    confidence = F.when(hint.isNotNull(), 1.0).when(sure, F.least(F.col("__sum"), F.lit(1.0))).otherwise(0.0)
+    return rows.select(*pages.columns, kind.alias("page_type"), confidence.alias("confidence"))

@@ -71,7 +71,8 @@ def embed_texts(rows: DataFrame, model: str, text: str = "content", batch: int =
                             out.extend([None] * len(some))
             yield pd.Series(out)
 
-    return rows.withColumn("vector", run(text)).filter("vector is not null and size(vector) > 0")
+    # said to be non-deterministic so that the filter doesn't run it a second time
+    return rows.withColumn("vector", run.asNondeterministic()(text)).filter("vector is not null and size(vector) > 0")
 
 
 def embed_chunks(chunks: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

@@ -263,7 +263,8 @@ def extract(fetches: DataFrame, selectors: dict[str, str] | None = None) -> Data
     def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([extract_page(h, u, selectors) for h, u in zip(html, url)], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return fetches.withColumn("__x", run("html", "url")).select(*[c for c in fetches.columns if c != "html"], "__x.*")
+    # said to be non-deterministic so that filters aren't pushed below it, which would parse each page twice
+    return fetches.withColumn("__x", run.asNondeterministic()("html", "url")).select(*[c for c in fetches.columns if c != "html"], "__x.*")
 
 
 def title(html: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import ensure_importable
 
 
 def matches(df: DataFrame, filters: Mapping[str, Any] | None) -> Column:
@@ -50,15 +55,58 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, filters: Mapp
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "chunk_id", vector: str = "vector", qid: str = "qid", qvector: str = "qvector", block: int = 1024) -> DataFrame:
-    """The k nearest rows of each query, ranked from 1. Queries are a given, small set: they are broadcast in blocks
-    of `block`, so what a task holds is bounded; the rank is limited in each task before rows move."""
-    pairs = queries.select(qid, qvector)
-    n = pairs.count()
-    blocks = 1 if n <= block else -(-n // block)
+    """The k nearest rows of each query, with `score` and `rank` from 1; scores that agree in 12 places rank by id.
+
+    Queries are taken in blocks of `block` at most, so what a task holds is bounded. In each Arrow batch one matrix
+    product scores all rows, and only k rows (and ties) of each query leave it; nothing else is shuffled. Vectors that
+    are null or of another dimension than the queries are left out.
+    """
+    if metric not in ("cosine", "inner", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    ensure_importable(vectors.sparkSession)
+    n = queries.count()
+    blocks = max(1, -(-2 * n // block)) if n > block else 1
+    schema = T.StructType([queries.schema[qid], *vectors.schema.fields, T.StructField("score", T.DoubleType())])
     out = None
     for b in range(blocks):
-        part = pairs if blocks == 1 else pairs.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(part)).withColumn("score", similarity(F.col(vector), F.col(qvector), metric))
-        out = scored if out is None else out.unionByName(scored)
-    rank = F.row_number().over(W.partitionBy(qid).orderBy(F.desc("score"), id_col))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).drop(qvector)
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
+        rows = part.select(qid, qvector).collect()
+        if not rows:
+            continue
+        own = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+        nearest = vectors.mapInArrow(_nearest(own, k, metric, id_col, vector, qid), schema)
+        out = nearest if out is None else out.unionByName(nearest)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], schema.add("rank", "int"))
+    rank = F.row_number().over(W.partitionBy(qid).orderBy(F.desc(F.round("score", 12)), id_col))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _nearest(own, k: int, metric: str, id_col: str, vector: str, qid: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = own.value
+        for batch in batches:
+            column = batch.column(vector)
+            fits = np.flatnonzero(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1) == q.shape[1])
+            batch = batch.take(pa.array(fits))
+            if not len(fits):
+                continue
+            v = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+            score = v @ q.T
+            if metric == "cosine":
+                size = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+                score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
+            elif metric == "l2":
+                score = 1 - ((v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * score)
+            score, place = np.round(score, 12), np.argsort(np.argsort(np.array(batch.column(id_col).to_pylist(), object), kind="stable"))
+            at, who = [], []
+            for j in range(len(names)):
+                s = score[:, j]
+                some = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                some = some[np.lexsort((place[some], -s[some]))][:k]
+                at.append(some), who.append(np.full(len(some), j))
+            at, who = np.concatenate(at), np.concatenate(who)
+            rows = batch.take(pa.array(at))
+            yield pa.record_batch([pa.array([names[j] for j in who]), *rows.columns, pa.array(score[at, who])], [qid, *batch.schema.names, "score"])
+
+    return run

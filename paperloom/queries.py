@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import ensure_importable
+from . import ensure_importable, spread
 from .functions import ids, text
 from .functions import url as U
 from .functions import version as V
@@ -30,9 +30,11 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, busy: bool = False) -> DataFrame:
+    """busy: for queries that compute much on each row; small files then use all cores."""
     ensure_importable(spark)
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(rows) if busy else rows
 
 
 def six(c):
@@ -111,7 +113,7 @@ def vector_read_back(spark, sf):
 
 @query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')))) AS content_hash FROM documents")
 def content_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
+    return table(spark, sf, "documents", busy=True).select("doc_id", ids.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query("SELECT doc_id, sha256(concat_ws('|', source, lang, 'u/' || doc_id, 'h' || doc_id % 3, (doc_id % 7)::VARCHAR)) AS chunk_id FROM documents")
@@ -138,7 +140,7 @@ _TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 
 @query(rf"SELECT doc_id, length(regexp_extract_all(text, '{_TOK}')) AS n_tokens FROM documents")
 def token_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.token_count(F.col("text")).cast("long").alias("n_tokens"))
+    return table(spark, sf, "documents", busy=True).select("doc_id", text.token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
 _SPLIT = rf"""p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {{'t': x, 'n': length(regexp_extract_all(x, '{_TOK}'))}}) AS parts,
@@ -152,7 +154,7 @@ s AS (SELECT doc_id, CASE WHEN total <= 128 THEN [text] ELSE acc.out END AS part
 @query(f"WITH {_SPLIT} SELECT doc_id, length(parts) AS n, md5(array_to_string(parts, '~')) AS digest FROM s")
 def split_by_tokens(spark, sf):
     parts = text.split_by_tokens(F.col("text"), 128, "\n")
-    return table(spark, sf, "documents").select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "~")).alias("digest"))
+    return table(spark, sf, "documents", busy=True).select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "~")).alias("digest"))
 
 
 _MERGE = rf"""m AS (SELECT doc_id, list_reduce(string_split(text, chr(10)), lambda a, x: CASE
@@ -163,7 +165,7 @@ _MERGE = rf"""m AS (SELECT doc_id, list_reduce(string_split(text, chr(10)), lamb
 @query(f"WITH {_MERGE} SELECT doc_id, length(parts) AS n, md5(array_to_string(parts, '~')) AS digest FROM m")
 def merge_small(spark, sf):
     parts = text.merge_small(F.split("text", "\n", -1), 64)
-    return table(spark, sf, "documents").select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "~")).alias("digest"))
+    return table(spark, sf, "documents", busy=True).select("doc_id", parts.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "~")).alias("digest"))
 
 
 @query(rf"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM p),
@@ -173,7 +175,7 @@ o AS (SELECT *, CASE WHEN i = 1 THEN '' WHEN length(toks) <= 8 THEN b ELSE array
 SELECT doc_id, i::BIGINT - 1 AS chunk_index, md5(CASE WHEN lead = '' THEN x ELSE lead || chr(10) || chr(10) || x END) AS digest FROM o""")
 def overlap_tail(spark, sf):
     parts = text.overlap(F.split("text", "\n", -1), 8)
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("chunk_index", "x")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("x").alias("digest"))
+    return table(spark, sf, "documents", busy=True).select("doc_id", F.posexplode(parts).alias("chunk_index", "x")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("x").alias("digest"))
 
 
 #: Markdown made of the documents' lines, the same on both sides: headings, fences and steps by line number.
@@ -182,7 +184,7 @@ md AS (SELECT doc_id, i, CASE WHEN i % 7 = 1 THEN '# ' || x WHEN i % 7 = 4 THEN
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).withColumn("i", (F.col("i") + 1).cast("long"))
+    lines = table(spark, sf, "documents", busy=True).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).withColumn("i", (F.col("i") + 1).cast("long"))
     k, x = F.col("i") % 7, F.col("x")
     return lines.select("doc_id", "i", F.when(k == 1, F.concat(F.lit("# "), x)).when(k == 4, F.concat(F.lit("## "), x)).when(k == 6, "```sql").when(k == 0, "```").otherwise(x).alias("x"))
 
@@ -193,7 +195,7 @@ def _joined(spark: SparkSession, sf: str) -> DataFrame:
         k = (i + 1) % 7
         return F.when(k == 1, F.concat(F.lit("# "), x)).when(k == 4, F.concat(F.lit("## "), x)).when(k == 6, "```sql").when(k == 0, "```").otherwise(x)
 
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("markdown"))
+    return table(spark, sf, "documents", busy=True).select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("markdown"))
 
 
 @query(rf"WITH {_LINES} SELECT doc_id, count(*) AS n, md5(string_agg(regexp_extract(trim(x), '^#{{1,6}}\s+(.+)$', 1), '~' ORDER BY i)) AS digest FROM md WHERE regexp_matches(trim(x), '^#{{1,6}}\s+\S') GROUP BY doc_id")
@@ -263,7 +265,7 @@ s AS (SELECT page_id, regexp_extract(x, '^([A-Za-z]+:)', 1) AS scheme, regexp_ex
 SELECT page_id, count(DISTINCT path) AS n FROM s WHERE lower(host) = 'ththre.example.com' AND NOT regexp_matches(lower(path), '/({_FOLDERS})/') AND NOT regexp_matches(lower(path), '\.({_SUFFIXES})$') GROUP BY page_id""")
 def link_extract(spark, sf):
     links = U.links(F.col("html"), F.col("url"), "http://ththre.example.com/")
-    out = table(spark, sf, "pages").select("page_id", F.size(F.array_distinct(F.transform(links, U.path))).cast("long").alias("n"))
+    out = table(spark, sf, "pages", busy=True).select("page_id", F.size(F.array_distinct(F.transform(links, U.path))).cast("long").alias("n"))
     return out.filter("n > 0")
 
 
@@ -301,7 +303,7 @@ _STRIP = "trim(regexp_replace(regexp_replace(regexp_extract(html, '{}', 1), '<[^
 @query(f"""WITH t AS (SELECT page_id, {_STRIP.format('(?is)<h1[^>]*>(.*?)</h1>')} AS h1, trim(regexp_replace({_STRIP.format('(?is)<title[^>]*>(.*?)</title>')}, '( — | \\| | - ).*$', '')) AS ti FROM pages)
 SELECT page_id, CASE WHEN h1 <> '' THEN h1 WHEN ti <> '' THEN ti ELSE 'Untitled' END AS title FROM t""")
 def page_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", extract.title(F.col("html")).alias("title"))
+    return table(spark, sf, "pages", busy=True).select("page_id", extract.title(F.col("html")).alias("title"))
 
 
 @query("""WITH h AS (SELECT page_id, html || CASE page_id % 5 WHEN 0 THEN '<pre class="x"><code>' WHEN 1 THEN '<link href="s" rel="sitemap">' WHEN 2 THEN 'Sphinx' WHEN 3 THEN 'Enterprise login' ELSE '' END AS html FROM pages)
@@ -312,7 +314,7 @@ SELECT page_id, round(greatest(0, least(1, regexp_matches(html, '(?i)<link[^>]*r
 def doc_score(spark, sf):
     extra = F.array(*[F.lit(x) for x in ('<pre class="x"><code>', '<link href="s" rel="sitemap">', "Sphinx", "Enterprise login", "")])
     html = F.concat("html", F.element_at(extra, (F.col("page_id") % 5 + 1).cast("int")))
-    return table(spark, sf, "pages").select("page_id", six(extract.doc_score(html)).alias("score"))
+    return table(spark, sf, "pages", busy=True).select("page_id", six(extract.doc_score(html)).alias("score"))
 
 
 @query(r"""WITH h AS (SELECT page_id, '<a href="/d/' || page_id % 4 || '.' || page_id % 3 || '/x"><a href="/d/1.2/y">' || html AS html FROM pages),
@@ -363,7 +365,7 @@ _TITLES = ["Tutorial: start", "API of x", "FAQ", "Settings", "Plain", "How to in
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % len(xs) + 1).cast("int"))
-    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    d, i = table(spark, sf, "documents", busy=True), F.col("doc_id")
     return d.select(
         "doc_id", F.concat(F.lit("https://x.org"), pick(_PATHS, i)).alias("url"), pick(_TITLES, i + (i / 8).cast("long") % 2).alias("title"),
         F.array(pick(["Step 1", "Parameters", "Notes"], i)).alias("headings"), F.col("text").alias("markdown"),
@@ -390,7 +392,7 @@ def hint_join(spark, sf):
 
 @query()
 def extract_markdown(spark, sf):
-    out = extract.extract(table(spark, sf, "pages"))
+    out = extract.extract(table(spark, sf, "pages", busy=True))
     return out.select("page_id", "title", F.md5("markdown").alias("digest"), F.length("markdown").alias("n_chars"), F.size("headings").alias("n_headings"), F.col("raw_metadata")["extraction_method"].alias("method"))
 
 
@@ -403,7 +405,7 @@ def chunk_pages(spark, sf):
 
 @query()
 def index_pages(spark, sf):
-    pages = classify.classify(extract.extract(table(spark, sf, "pages")))
+    pages = classify.classify(extract.extract(table(spark, sf, "pages", busy=True)))
     chunks = chunking.chunk_pages(pages).withColumn("chunk_id", ids.chunk_id(F.lit("sw"), F.lit("1"), F.col("url"), F.col("section_heading"), F.col("chunk_index")))
     out = embed.embed_texts(chunks, "hash-8")
     return out.select("page_id", "chunk_id", "page_type", "chunk_index", ids.content_hash(F.col("content")).alias("content_hash"), six(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("vector_sum"))
@@ -412,7 +414,7 @@ def index_pages(spark, sf):
 @query("""WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id, list_transform(range(8), lambda k: (instr('0123456789abcdef', substr(h, 2 * k + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 2 * k + 2, 1)) - 1) AS v FROM s)
 SELECT doc_id, round(list_sum(v) / 255.0::DOUBLE, 4) AS total FROM b""")
 def embed_hash(spark, sf):
-    out = embed.embed_texts(table(spark, sf, "documents"), "hash-8", "text")
+    out = embed.embed_texts(table(spark, sf, "documents", busy=True), "hash-8", "text")
     return out.select("doc_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
