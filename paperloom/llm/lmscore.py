@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom import ensure_importable
 
 from ._util import Workspace, documents, raw_texts, slices
-from .dsir import MAX_LABELLED, _targets
+from .dsir import MAX_LABELLED, _targets, kth_largest
 from .hashing import many_word_hashes, word_bounds
 
 QUERY = "op10_compression_lm"
@@ -48,7 +48,7 @@ def dictionaries(docs: DataFrame, domain: np.ndarray, size: int = 65_536) -> tup
 
     Words are counted over all documents, and over those of the domain; those that save most, by count and length,
     are laid out with the best last, where references to them are shortest. Only the words that can get in (at most
-    size / 2 of each ranking) come to the driver.
+    size / 4 of each ranking) come to the driver: the least gain among them is found first.
     """
     ensure_importable(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "lm")
@@ -58,7 +58,9 @@ def dictionaries(docs: DataFrame, domain: np.ndarray, size: int = 65_536) -> tup
     out = []
     for column in ("own", "n"):
         gain = F.col(column) * (F.length("word") + 1)
-        best = counts.filter(F.col(column) > 1).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(size // 2).collect()
+        ranked = counts.filter(F.col(column) > 1).select("word", gain.cast("double").alias("gain"))
+        least = kth_largest(ranked, "gain", min(size // 4, ranked.count()))
+        best = ranked.filter(F.col("gain") >= (least or 0)).orderBy(F.desc("gain"), "word").limit(size // 4).collect()
         content, room = [], size
         for r in best:
             piece = bytes(r["word"]) + b" "
