@@ -100,7 +100,10 @@ def _weigh(ratio: np.ndarray, seed: int, batch: pa.RecordBatch) -> tuple[np.ndar
 def _targets(labels: DataFrame, most: int) -> np.ndarray:
     """doc_ids of at most `most` target documents (quality 1), chosen by hash."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    return np.sort(np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()], np.int64))
+    good = good.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    if (n := good.count()) > most:  # little more than `most` ids leave the tasks
+        good = good.filter(F.col("h") < int((1 << 40) * min(1.0, 1.05 * most / n)))
+    return np.sort(np.array([r[0] for r in good.orderBy("h", "doc_id").limit(most).select("doc_id").collect()], np.int64))
 
 
 def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
