@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom import ensure_importable
+from paperloom import ensure_importable, spread
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of every text rule here: runs of anything but ASCII blanks; the same as bytes.split().
@@ -36,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="paperloom-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return _own_dir[0]
 
 
@@ -68,7 +70,8 @@ def release() -> None:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     ensure_importable(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spread(rows) if table == "documents" else rows
 
 
 def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
