@@ -27,7 +27,7 @@ _CACHED = 400_000
 
 
 class Model:
-    """Log frequencies by language of words, and of their character n-grams with word ends, n = 1 ... `longest`."""
+    """Log frequencies by language of words, and of their character n-grams, n = 1 ... `longest`, from 2 on with word ends."""
 
     def __init__(self, counts: dict[str, Counter], longest: int = 4, least: int = 2, backoff: float = 0.5):
         self.languages = sorted(counts)
@@ -53,7 +53,7 @@ class Model:
 
     @staticmethod
     def _grams(word: str, size: int) -> Iterator[str]:
-        word = f"<{word}>"
+        word = f"<{word}>" if size > 1 else word
         return (word[i : i + size] for i in range(max(len(word) - size + 1, 0)))
 
     def weigh(self, word: str) -> np.ndarray:
