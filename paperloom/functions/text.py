@@ -23,9 +23,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1)
 
 
-def split_by_tokens(text: Column, most: int, separator: str = "\n\n") -> Column:
+def split_by_tokens(text: Column, most: int, sep: str = "\n\n") -> Column:
     """Greedy runs of parts of at most `most` tokens; one part that is larger stays whole. Returns array<string>."""
-    parts = F.transform(F.split(text, separator.replace("\n", r"\n"), -1), lambda p: F.struct(F.array(p).alias("parts"), token_count(p).alias("n")))
+    parts = F.transform(F.split(text, sep.replace("\n", r"\n"), -1), lambda p: F.struct(F.array(p).alias("parts"), token_count(p).alias("n")))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -34,7 +34,7 @@ def split_by_tokens(text: Column, most: int, separator: str = "\n\n") -> Column:
         return F.when(F.size(acc) == 0, F.array(x)).when(last["n"] + x["n"] <= most, F.concat(head, F.array(grown))).otherwise(F.concat(acc, F.array(x)))
 
     start = F.array().cast("array<struct<parts:array<string>,n:int>>")
-    folded = F.aggregate(parts, start, step, lambda acc: F.transform(acc, lambda g: F.array_join(g["parts"], separator)))
+    folded = F.aggregate(parts, start, step, lambda acc: F.transform(acc, lambda g: F.array_join(g["parts"], sep)))
     return F.when(token_count(text) <= most, F.array(text)).otherwise(folded)
 
 
@@ -69,12 +69,12 @@ def overlap(texts: Column, n: int) -> Column:
 def headings(markdown: Column) -> Column:
     """Texts of all lines like a heading, those inside fences too."""
     lines = F.transform(F.split(markdown, r"\n", -1), F.trim)
-    return F.transform(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s+\S")), lambda x: F.regexp_extract(x, r"^#{1,6}\s+(.+)$", 1))
+    return F.transform(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s+\S")), lambda x: F.regexp_extract(x, r"^(?:#{1,6})\s+(\S.*)$", 1))
 
 
 def code_blocks(markdown: Column) -> Column:
     """array<struct<language, content>> of fenced blocks; `text` where no language is named."""
-    pattern = F.lit(r"(?s)```(\w*)\n(.*?)```")
+    pattern = F.lit(r"(?s)`{3}(\w*)\n(.*?)`{3}")
     both = F.arrays_zip(F.regexp_extract_all(markdown, pattern, 1).alias("l"), F.regexp_extract_all(markdown, pattern, 2).alias("c"))
     return F.transform(both, lambda x: F.struct(
         F.when(x["l"] == "", "text").otherwise(x["l"]).alias("language"), F.regexp_replace(x["c"], r"^\n+|\n+$", "").alias("content")))
@@ -91,7 +91,7 @@ _HINTS = [
     ("sql", r"\b(select|insert|create table|create index)\b"),
     ("python", r"\bdef \w+\("),
     ("javascript", r"\b(function|const|import)\b"),
-    ("go", r"\bpackage main\b|\bfunc \w+\("),
+    ("go", r"\b(?:package main\b|func \w+\()"),
     ("bash", r"\b(curl|wget|pip install|npm install)\b"),
     ("bash", r"\b(kubectl|docker)\b"),
 ]

@@ -105,8 +105,8 @@ def breadcrumb(url: Column) -> Column:
 
 def software_name(url: Column) -> Column:
     """A name from a host: prefixes like docs. and one known ending off, the project of a readthedocs host."""
-    h = F.regexp_replace(host(url), r"^(docs?|www|api)\.", "")
-    h = F.regexp_replace(h, r"\.(com|org|io|dev|net)$", "")
+    h = F.regexp_replace(host(url), r"^(api|docs?|www)\.", "")
+    h = F.regexp_replace(h, r"\.(com|dev|io|net|org)$", "")
     first = F.element_at(F.split(h, r"\."), 1)
     name = F.regexp_replace(first, "[^a-z0-9-]", "")
     hosted = h.contains("readthedocs") & ~first.isin("readthedocs", "docs") & (first != "")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LIKE = r"(?i)^v?\d+(\.\d+)*([-.]?(alpha|beta|rc|pre|dev|stable))?$"
-_NUMBERS = r"^(\d+)(?:\.(\d+)(?:\.(\d+))?)?([a-zA-Z0-9._-]*)$"
-_LINK = r'href="[^"]*?/(\d+(?:\.\d+)*)/[^"]*"'
+_LIKE = r"(?i)^v?\d+(\.\d+)*([-.]?(alpha|beta|dev|pre|rc|stable))?$"
+_NUMBERS = r"^([0-9]+)(?:\.([0-9]+)(?:\.([0-9]+))?)?([\w.-]*)$"
+_LINK = r'href="[^"]*?/([0-9]+(?:\.[0-9]+)*)/[^"]*"'
 
 
 def looks_like(value: Column) -> Column:
@@ -39,8 +39,8 @@ def in_links(html: Column) -> Column:
 
 def in_dropdown(html: Column) -> Column:
     """Options of selects about versions or releases; else versions in links."""
-    selects = F.regexp_extract_all(html, F.lit(r"(?is)<select[^>]*(?:version|release)[^>]*>(.*?)</select>"), 1)
-    options = F.flatten(F.transform(selects, lambda x: F.regexp_extract_all(x, F.lit(r'<option[^>]*value="([^"]*)"[^>]*>'), 1)))
+    selects = F.regexp_extract_all(html, F.lit(r"(?is)<select\b[^>]*(?:release|version)[^>]*>(.*?)</select>"), 1)
+    options = F.flatten(F.transform(selects, lambda x: F.regexp_extract_all(x, F.lit(r'<option\b[^>]*value="([^"]*)"'), 1)))
     options = F.filter(F.transform(options, lambda x: F.regexp_replace(x, "^/+|/+$", "")), looks_like)
     return F.when(F.size(options) > 0, F.array_distinct(options)).otherwise(F.filter(in_links(html), looks_like))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import ensure_importable
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_SYMBOL = re.compile(r"^#{2,3}\s+(?:\w+[(\[].*[)\]]\s*$|(?i:(?:class|def)\s+\w+))")
+_SYMBOL = re.compile(r"^###?\s+(?:\w+[(\[].*[)\]]\s*$|(?i:(?:class|def)\s+\w+))")
 _SPECIAL = re.compile(r"(?i)^###?\s+(?:arguments?|examples?|exceptions?|notes?|parameters|raises?|returns?|see also|signature)\b")
 _STEP = re.compile(r"(?i)^(?:(?:#{1,3}\s+)?(?:step\s+|exercise\s+\d+)|\d+[.)]\s+)")
 _RULE = re.compile(r"^[|\s\-+:]+$")
@@ -28,12 +28,12 @@ def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
-def split_by_tokens(text: str, most: int, separator: str = "\n\n") -> list[str]:
+def split_by_tokens(text: str, most: int, sep: str = "\n\n") -> list[str]:
     if count_tokens(text) <= most:
         return [text]
     out: list[list[str]] = []
     room = -1
-    for part in text.split(separator):
+    for part in text.split(sep):
         n = count_tokens(part)
         if out and n <= room:
             out[-1].append(part)
@@ -41,7 +41,7 @@ def split_by_tokens(text: str, most: int, separator: str = "\n\n") -> list[str]:
         else:
             out.append([part])
             room = most - n
-    return [separator.join(x) for x in out]
+    return [sep.join(x) for x in out]
 
 
 def merge_small(texts: list[str], least: int) -> list[str]:

@@ -7,7 +7,6 @@ say (title, headings, code blocks of Markdown) also exists in the JVM, in functi
 from __future__ import annotations
 
 import re
-from typing import Any
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -18,12 +17,12 @@ from .. import ensure_importable
 from .dom import Node, parse
 
 _DROP = "nav, header, footer, aside, script, style, noscript, iframe, .toc, .ad, .ads, .advertisement, .sidebar, .side-bar, .table-of-contents, .breadcrumb, .breadcrumbs, .cookie-banner, .cookie-consent, #cookie-banner"
-_MAIN = ("main", "article", '[role="main"]')
+_MAIN = 'main; article; [role="main"]'.split("; ")
 _LIKELY = ".bd-content, .doc-content, .document, .documentation, .markdown-body, .md-content, .rst-content, #content, #docContent"
 _CALLOUTS = [(f".admonition.{x}, .admonition-{x}, .theme-admonition-{x}" + f", div.{x}" * (x in ("danger", "info", "note", "tip", "warning")), x.title()) for x in ("note", "warning", "tip", "important", "caution", "danger", "info")]
 _CALLOUTS.append((".md-typeset .admonition, .rst-content .admonition", "Note"))
 _CALLOUT_TITLE = ".admonition-title, .admonition-heading, .theme-admonition-heading"
-_HINTS = [("sql", r"\bselect\b|\binsert\b|\bcreate (?:table|index)\b"), ("python", r"\bdef \w+\("), ("javascript", r"\b(?:function|const|import)\b"), ("go", r"\bpackage main\b|\bfunc \w+\("), ("bash", r"\b(?:curl|wget|(?:pip|npm) install|kubectl|docker)\b")]
+_HINTS = [("sql", r"\bselect\b|\binsert\b|\bcreate (?:table|index)\b"), ("python", r"\bdef \w+\("), ("javascript", r"\b(?:function|const|import)\b"), ("go", r"\b(?:package main\b|func \w+\()"), ("bash", r"\b(?:curl|wget|(?:pip|npm) install|kubectl|docker)\b")]
 SCHEMA = "title string, markdown string, headings array<string>, code_blocks array<struct<language:string,content:string>>, breadcrumb array<string>, raw_metadata map<string,string>"
 
 
@@ -36,7 +35,7 @@ def code_language(text: str) -> str | None:
 
 
 def class_language(css: str) -> str | None:
-    found = re.search(r"language-([\w+#.-]+)", css, re.I) or re.search(r"highlight-(\w+)", css, re.I)
+    found = re.search(r"language-([-.#+\w]+)", css, re.I) or re.search(r"highlight-(\w+)", css, re.I)
     return found[1].lower() if found else None
 
 
@@ -192,7 +191,7 @@ def tidy_fences(markdown: str) -> str:
             out += ([""] if out and out[-1] else []) + [f"```{name}", *body, "```"]
             block, after = None, True
         else:
-            block.append(re.sub(r"^\s*\d+\s{2,}", "", re.sub(r"^\s*\d+\s*\|\s?", "", line)))
+            block.append(re.sub(r"^(?:\s*[0-9]+\s*\|\s?)?(?:\s*[0-9]+\s\s+)?", "", line))
     if block is not None:
         out += [f"```{block[0] or 'text'}", *block[1:]]
     return "\n".join(out)
@@ -239,7 +238,7 @@ def meta(root: Node) -> dict[str, str]:
     return out
 
 
-def extract_page(html: str | None, url: str | None, selectors: dict[str, str] | None = None) -> dict[str, Any]:
+def extract_page(html: str | None, url: str | None, selectors: dict[str, str] | None = None) -> dict:
     """All of SCHEMA for one page; a page that can't be parsed or is null gives an empty one."""
     root, selectors = parse(html or ""), selectors or {}
     title, breadcrumb, data = page_title(root), crumbs(root, selectors), meta(root)
@@ -249,9 +248,9 @@ def extract_page(html: str | None, url: str | None, selectors: dict[str, str] |
     for x in content.select(".linenos, .line-numbers, .gutter, .lineno"):
         x.remove()
     _callouts(content)
-    markdown = tidy_fences(re.sub(r"\n{3,}", "\n\n", _Writer(url or "").blocks(content)).strip())
-    headings = [m[1].strip() for line in markdown.split("\n") if (m := re.match(r"#{1,6}\s+(.+)$", line.strip()))]
-    blocks = [{"language": m[1] or "text", "content": m[2].strip("\n")} for m in re.finditer(r"(?s)```(\w*)\n(.*?)```", markdown)]
+    markdown = tidy_fences(re.sub("\n\n\n+", "\n\n", _Writer(url or "").blocks(content)).strip())
+    headings = [m[1].strip() for line in markdown.split("\n") if (m := re.match(r"(?:#{1,6})\s+(\S.*)$", line.strip()))]
+    blocks = [{"language": m[1] or "text", "content": m[2].strip("\n")} for m in re.finditer(r"(?s)`{3}(\w*)\n(.*?)`{3}", markdown)]
     return {"title": title, "markdown": markdown, "headings": headings or [title], "code_blocks": blocks, "breadcrumb": breadcrumb, "raw_metadata": data}
 
 
@@ -280,8 +279,8 @@ def doc_score(html: Column) -> Column:
     """How much like documentation a page looks, from 0 to 1."""
     low = F.lower(html)
     has = lambda pattern, weight: F.when(html.rlike("(?i)" + pattern), F.lit(weight)).otherwise(0.0)
-    out = has('<link[^>]*rel="sitemap"[^>]*>', 0.15) + has("<h[12][^>]*>", 0.25) + has("<pre[^>]*><code", 0.25)
+    out = has('<link[^>]+rel="sitemap"[^<>]*>', 0.15) + has("<h[12][^>]*>", 0.25) + has("<pre[^>]*><code", 0.25)
     out = out + has("""<nav|class=['"](?:sidebar|toc|menu)['"]""", 0.15) + has("mkdocs|sphinx|docusaurus|readthedocs|gitbook", 0.1)
-    for word in ("pricing", "enterprise", "signup", "sign-up", "login"):
+    for word in ("enterprise", "login", "pricing", "sign-up", "signup"):
         out = out - F.when(low.contains(word), 0.2).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))

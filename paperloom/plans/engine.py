@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections import defaultdict
@@ -20,23 +21,24 @@ from ..sources.config import load_config
 from ..sources.tables import Tables
 
 PRODUCER = "paperloom 0.1"
+Name = str | None
 
 
 class Events:
     """Handlers by event name, called in the order of registration; "*" hears everything."""
 
-    def __init__(self) -> None:
-        self._handlers: dict[str, list[Callable]] = defaultdict(list)
+    def __init__(self):
+        self._by_name = defaultdict(list)
 
     def on(self, name: str, handler: Callable[[str, dict], None]) -> None:
-        self._handlers[name].append(handler)
+        self._by_name[name].append(handler)
 
     def off(self, name: str, handler: Callable[[str, dict], None]) -> None:
-        if handler in self._handlers[name]:
-            self._handlers[name].remove(handler)
+        if handler in self._by_name[name]:
+            self._by_name[name].remove(handler)
 
     def emit(self, name: str, **data: Any) -> None:
-        for handler in [*self._handlers[name], *self._handlers["*"]]:
+        for handler in [*self._by_name[name], *self._by_name["*"]]:
             handler(name, data)
 
 
@@ -80,8 +82,8 @@ class Engine:
         rows = self.registry.filter(F.col("name") == software).collect() if self.registry is not None else []
         return rows[0].asDict() if rows else None
 
-    def versions(self, software: str) -> list[str]:
-        """Indexed versions, oldest first."""
+    def versions(self, software: str):
+        """What is indexed, from old to new."""
         rows = self.tables.read("indexed_versions").filter(F.col("software") == software)
         return [r["version"] for r in rows.orderBy(V.key(F.col("version"))).select("version").collect()]
 
@@ -91,7 +93,7 @@ class Engine:
             raise ValueError(f"{software} has no indexed version")
         return own[-1]
 
-    def set_latest(self, software: str, version: str) -> None:
+    def set_latest(self, software: str, version: str):
         rows = self.tables.read("indexed_software").filter(F.col("software") == software)
         marked = F.map_concat(F.map_filter(F.coalesce(F.from_json("config_snapshot", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: k != "latest_version"), F.create_map(F.lit("latest_version"), F.lit(version)))
         self.tables.upsert("indexed_software", rows.withColumn("config_snapshot", F.to_json(marked)))
@@ -145,14 +147,14 @@ class Engine:
         row = [(r.software, r.version, pages, n, model, embed.provider(model)[1])]
         df = self.spark.createDataFrame(row, "software string, version string, page_count long, chunk_count long, embedding_model string, embedding_dimension int")
         self.tables.upsert("indexed_versions", df.withColumn("indexed_at", F.current_timestamp()))
-        name = (entry or {}).get("display_name") or r.software.replace("-", " ").replace("_", " ").title()
+        name = (entry or {}).get("display_name") or re.sub("[-_]", " ", r.software).title()
         sw = self.spark.createDataFrame([(r.software, name, None)], "software string, display_name string, config_snapshot string")
         self.tables.upsert("indexed_software", sw.withColumn("last_indexed_at", F.current_timestamp()))
         r.chunks = n
 
     # -- entry points
 
-    def index(self, software: str, version: str | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, pages: DataFrame | None = None, mode: str = "full") -> VersionResult:
+    def index(self, software: str, version: Name = None, fetch: Callable[[DataFrame], DataFrame] | None = None, pages: DataFrame | None = None, mode: str = "full") -> VersionResult:
         """Crawls (fetch) or takes pages (url, html, etag?, last_modified?), and stores their chunks."""
         if mode == "incremental":
             return self.update(software, pages=pages)[0]
@@ -168,8 +170,7 @@ class Engine:
                 if fetch is None or entry is None:
                     raise ValueError("index needs pages, or a fetcher and a registry entry")
                 base = entry["base_url"].rstrip("/") + "/"
-                include = [p.replace("{version}", version) for p in entry["include"]]
-                exclude = [p.replace("{version}", version) for p in entry["exclude"]]
+                include, exclude = ([g.replace("{version}", version) for g in entry[k]] for k in ("include", "exclude"))
                 c = self.config["crawler"]
                 pages = crawl.crawl(self.tables, [f"{base}{version}/"], fetch, None, include, exclude, c["max_pages"], c["max_depth"]).filter("status_code < 400")
             chunks = self.tables.stage(self.process(pages, software, version, (entry or {}).get("content_selectors"), (entry or {}).get("page_type_hints")))
@@ -187,7 +188,7 @@ class Engine:
         self.events.emit("index_completed", software=software, version=version, pages=r.pages, chunks=r.chunks)
         return r
 
-    def update(self, software: str | None = None, pages: DataFrame | None = None, sitemap: DataFrame | None = None) -> list[VersionResult]:
+    def update(self, software: Name = None, pages: DataFrame | None = None, sitemap: DataFrame | None = None) -> list[VersionResult]:
         """Takes over what changed: gone pages are dropped, of changed ones only the chunks that differ are embedded.
 
         pages is the site as it is now; sitemap (loc, lastmod, seq), if given, tells changes without reading pages.
@@ -231,7 +232,7 @@ class Engine:
             out.append(r)
         return out
 
-    def reembed(self, software: str, model: str, version: str | None = None) -> VersionResult:
+    def reembed(self, software: str, model: str, version: Name = None) -> VersionResult:
         """Embeds all chunks of a version with another model, into that model's collection; the old one stays."""
         embed.provider(model)
         r = VersionResult(software, self._version(software, version))
@@ -244,14 +245,14 @@ class Engine:
         self._finish(r, self._entry(software), model)
         return r
 
-    def search(self, query: str, software: str, version: str | None = None, k: int = 10, filters: dict | None = None, model: str | None = None) -> DataFrame:
+    def search(self, query: str, software: str, version: Name = None, k: int = 10, filters: dict | None = None, model: str | None = None) -> DataFrame:
         """The k chunks nearest to a query, best first, from the one partition of software, version and model."""
         model = model or self.config["embeddings"]["model"]
         vector = embed.provider(model)[0]([query])[0]
         rows = self.tables.read("vectors").filter((F.col("software") == software) & (F.col("version") == self._version(software, version)) & (F.col("model_hash") == ids.model_key(F.lit(model))))
         return search.top_k(rows, vector.tolist(), k, filters, self.config["storage"]["metric"]).drop("vector")
 
-    def search_many(self, queries: DataFrame, software: str, version: str | None = None, k: int = 10, model: str | None = None) -> DataFrame:
+    def search_many(self, queries: DataFrame, software: str, version: Name = None, k: int = 10, model: str | None = None) -> DataFrame:
         """The same for a table of queries (qid, text), in one pass over the chunks."""
         model = model or self.config["embeddings"]["model"]
         q = embed.embed_texts(queries, model, "text").select("qid", F.col("vector").alias("qvector"))
@@ -263,13 +264,13 @@ class Engine:
         sums = versions.groupBy("software").agg(F.array_sort(F.collect_list("version")).alias("versions"), F.sum("page_count").alias("pages"), F.sum("chunk_count").alias("chunks"), F.max("indexed_at").alias("indexed_at"))
         return self.tables.read("indexed_software").select("software", "display_name").join(sums, "software", "left").orderBy("software")
 
-    def stats(self, software: str) -> dict[str, Any]:
+    def stats(self, software: str) -> dict:
         if self.tables.read("indexed_software").filter(F.col("software") == software).isEmpty():
             raise ValueError(f"{software} isn't indexed")
         v = self.tables.read("indexed_versions").filter(F.col("software") == software).agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
         return {"software": software, "versions": v[0], "pages": self.tables.read("page_state").filter(F.col("software") == software).count(), "chunks": v[1]}
 
-    def delete(self, software: str, version: str | None = None) -> None:
+    def delete(self, software: str, version: Name = None):
         mine = F.col("software") == software
         if version:
             mine &= F.col("version") == version
@@ -279,6 +280,6 @@ class Engine:
             self.tables.delete("indexed_software", F.col("software") == software)
         self.events.emit("deleted", software=software, version=version)
 
-    def runs(self, software: str | None = None, limit: int = 20) -> DataFrame:
+    def runs(self, software: Name = None, limit: int = 20) -> DataFrame:
         rows = self.tables.read("pipeline_runs")
         return (rows.filter(F.col("software") == software) if software else rows).orderBy(F.desc("started_at")).limit(limit)

@@ -274,7 +274,7 @@ def url_breadcrumb(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(U.breadcrumb(F.col("url")), ">").alias("crumbs"))
 
 
-@query(rf"WITH {_URLSQL}, n AS (SELECT page_id, regexp_replace(regexp_replace(host, '^(docs?|www|api)\.', ''), '\.(com|org|io|dev|net)$', '') AS h FROM u) SELECT page_id, coalesce(nullif(regexp_replace(string_split(h, '.')[1], '[^a-z0-9-]', '', 'g'), ''), 'unknown') AS name FROM n")
+@query(rf"WITH {_URLSQL}, n AS (SELECT page_id, regexp_replace(regexp_replace(host, '^(api|docs?|www)\.', ''), '\.(com|dev|io|net|org)$', '') AS h FROM u) SELECT page_id, coalesce(nullif(regexp_replace(string_split(h, '.')[1], '[^a-z0-9-]', '', 'g'), ''), 'unknown') AS name FROM n")
 def software_name(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.software_name(F.col("url")).alias("name"))
 
@@ -307,7 +307,7 @@ def page_title(spark, sf):
 
 
 @query("""WITH h AS (SELECT page_id, html || CASE page_id % 5 WHEN 0 THEN '<pre class="x"><code>' WHEN 1 THEN '<link href="s" rel="sitemap">' WHEN 2 THEN 'Sphinx' WHEN 3 THEN 'Enterprise login' ELSE '' END AS html FROM pages)
-SELECT page_id, round(greatest(0, least(1, regexp_matches(html, '(?i)<link[^>]*rel="sitemap"[^>]*>')::INT * 0.15::DOUBLE + regexp_matches(html, '(?i)<h[12][^>]*>')::INT * 0.25::DOUBLE
+SELECT page_id, round(greatest(0, least(1, regexp_matches(html, '(?i)<link[^>]+rel="sitemap"[^<>]*>')::INT * 0.15::DOUBLE + regexp_matches(html, '(?i)<h[12][^>]*>')::INT * 0.25::DOUBLE
  + regexp_matches(html, '(?i)<pre[^>]*><code')::INT * 0.25::DOUBLE + regexp_matches(html, '(?i)<nav|class=[''"](?:sidebar|toc|menu)[''"]')::INT * 0.15::DOUBLE
  + regexp_matches(html, '(?i)mkdocs|sphinx|docusaurus|readthedocs|gitbook')::INT * 0.1::DOUBLE - 0.2::DOUBLE * (contains(lower(html), 'pricing')::INT + contains(lower(html), 'enterprise')::INT
  + contains(lower(html), 'signup')::INT + contains(lower(html), 'sign-up')::INT + contains(lower(html), 'login')::INT))), 6) AS score FROM h""")
@@ -318,7 +318,7 @@ def doc_score(spark, sf):
 
 
 @query(r"""WITH h AS (SELECT page_id, '<a href="/d/' || page_id % 4 || '.' || page_id % 3 || '/x"><a href="/d/1.2/y">' || html AS html FROM pages),
-e AS (SELECT page_id, regexp_extract_all(html, 'href="[^"]*?/(\d+(?:\.\d+)*)/[^"]*"', 1) AS v FROM h)
+e AS (SELECT page_id, regexp_extract_all(html, 'href="[^"]*?/([0-9]+(?:\.[0-9]+)*)/[^"]*"', 1) AS v FROM h)
 SELECT page_id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ',') AS versions FROM e""")
 def page_versions(spark, sf):
     html = F.concat(F.lit('<a href="/d/'), F.col("page_id") % 4, F.lit("."), F.col("page_id") % 3, F.lit('/x"><a href="/d/1.2/y">'), F.col("html"))
@@ -561,7 +561,7 @@ def sitemap_parse(spark, sf):
     loc = F.when(i % 10 == 0, "").otherwise(F.concat(F.lit("https://x.org/"), i, F.lit("?a=1&amp;b=2")))
     last = F.when(i % 3 != 0, F.concat(F.lit("<lastmod>2024-01-0"), i % 9 + 1, F.lit("</lastmod>"))).otherwise("")
     pri = F.when(i % 4 == 0, "<priority>0.5</priority>").when(i % 4 == 1, "<priority>high</priority>").otherwise("")
-    one = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url>\n<loc> '), loc, F.lit(" </loc>"), last, pri, F.lit("</url></urlset>"))
+    one = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://s"><url>\n<loc> '), loc, F.lit(" </loc>"), last, pri, F.lit("</url></urlset>"))
     return web.sitemap(table(spark, sf, "pages").select(one.alias("xml"))).select("loc", "lastmod", "priority")
 
 
