@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,19 +14,35 @@ from pyspark.sql import functions as F
 from paperloom import ensure_importable
 
 from ._util import Workspace, documents, raw_texts, slices
-from .dsir import MAX_LABELLED, _targets, kth_largest
+from .dsir import kth_largest
 from .hashing import many_word_hashes, word_bounds
 
 QUERY = "op10_compression_lm"
+#: In-domain ids that are broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
-def _counted(domain: np.ndarray):
+def _marked(docs: DataFrame, domain: DataFrame | np.ndarray) -> DataFrame:
+    """inside (is the document's id in the domain), text; of every in-domain id, however many there are."""
+    if isinstance(domain, np.ndarray):
+        domain = docs.sparkSession.createDataFrame([(int(x),) for x in domain], "doc_id long")
+    ids = domain.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("__d")).distinct()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    inside = F.col("__d").isNotNull().alias("inside")
+    if ids.limit(BROADCAST + 1).count() <= BROADCAST:
+        return rows.join(F.broadcast(ids), F.col("doc_id") == F.col("__d"), "left").select(inside, "text")
+    # the hash table is built of the ids; null ids would all go to one task
+    known = rows.filter("doc_id is not null").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__d"), "left")
+    return known.select(inside, "text").unionByName(rows.filter("doc_id is null").select(F.lit(False).alias("inside"), "text"))
+
+
+def _counted():
     """Words of all texts, counted in each slice before they move: word, in all, in the domain's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw_texts(batch.column("text"))
-            inside = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), domain)
+            inside = batch.column("inside").to_numpy(zero_copy_only=False)
             for i, j in slices(texts):
                 part = texts[i:j]
                 raw = b" ".join(part)
@@ -43,18 +60,24 @@ def _counted(domain: np.ndarray):
     return run
 
 
-def dictionaries(docs: DataFrame, domain: np.ndarray, size: int = 65_536) -> tuple[bytes, bytes]:
-    """(in-domain, general) dictionary contents of at most `size` bytes each.
+def _room(counts: DataFrame) -> int:
+    """Bytes of a dictionary: 8 times the root of the bytes of all counted words, 65,536 at least, without an upper limit."""
+    total = counts.agg(F.sum(F.col("n") * (F.length("word") + 1))).first()[0]
+    return max(65_536, 8 * math.isqrt(total or 0))
+
+
+def dictionaries(docs: DataFrame, domain: DataFrame | np.ndarray, size: int | None = None) -> tuple[bytes, bytes]:
+    """(in-domain, general) dictionary contents of at most `size` bytes each; by default that grows with the corpus.
 
-    Words are counted over all documents, and over those of the domain; those that save most, by count and length,
-    are laid out with the best last, where references to them are shortest. Only the words that can get in (at most
-    size / 4 of each ranking) come to the driver: the least gain among them is found first.
+    Words are counted over all documents, and over those of the domain (doc_ids); those that save most, by count and
+    length, are laid out with the best last, where references to them are shortest. Only the words that can get in (at
+    most size / 4 of each ranking) come to the driver: the least gain among them is found first.
     """
     ensure_importable(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "lm")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
-    counts = rows.mapInArrow(_counted(domain), "word binary, n long, own long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    counts = _marked(docs, domain).mapInArrow(_counted(), "word binary, n long, own long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     counts = ws.save(counts.filter("n > 1"), "words")
+    size = _room(counts) if size is None else size
     out = []
     for column in ("own", "n"):
         gain = F.col(column) * (F.length("word") + 1)
@@ -73,15 +96,23 @@ def dictionaries(docs: DataFrame, domain: np.ndarray, size: int = 65_536) -> tup
 
 
 def _sizes(content: bytes, level: int):
-    data = None
+    """Compresses with the dictionary; window and tables are as large as it takes to reach all of it."""
+    data, how = None, zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
     if len(content) >= 8:
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        if len(content) <= 1 << 17:  # the level's own tables hold every place
+            data.precompute_compress(level=level)
+        else:
+            bits = len(content).bit_length()
+            how = zstandard.ZstdCompressionParameters.from_level(
+                level, window_log=max(bits + 1, how.window_log), hash_log=max(bits, how.hash_log), chain_log=max(bits, how.chain_log), write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            data.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=data).compress
 
 
-def scores(docs: DataFrame, domain: np.ndarray, size: int = 65_536, level: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_bytes, domain_bytes, general_bytes, score.
+def scores(docs: DataFrame, domain: DataFrame | np.ndarray, size: int | None = None, level: int = 3) -> DataFrame:
+    """One row per document: doc_id, n_bytes, domain_bytes, general_bytes, score. `domain` holds doc_ids.
 
     score = (general - in-domain) / larger of both compressed sizes of the whole text: higher for texts like the
     domain's, 0 for null and empty texts and where neither dictionary helps. Repeated rows score alike, an empty table
@@ -104,4 +135,4 @@ def scores(docs: DataFrame, domain: np.ndarray, size: int = 65_536, level: int =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(documents(spark, sf_dir), _targets(documents(spark, sf_dir, "labels"), MAX_LABELLED))
+    return scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels").filter("quality = 1"))

@@ -347,6 +347,26 @@ def test_compression_prefers_the_domain(spark):
     assert b"maison" in own and len(own) <= 200 and len(general) <= 200
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 3])
+def test_whole_domain_is_counted(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lmscore, "BROADCAST", broadcast)
+    docs = make(spark, [(i, f"shared own{i % 40:03d}") for i in range(400)] + [(None, "shared"), (500, "shared other other")])
+    labels = spark.createDataFrame([(i,) for i in [*range(400), *range(400), 900]] + [(None,)], "doc_id long")
+    got = lmscore._marked(docs, labels)
+    assert got.filter("inside").count() == 400 and got.count() == 402
+    own, general = lmscore.dictionaries(docs, labels)
+    assert all(b"own%03d" % k in own for k in range(40)) and b"other" not in own and b"other" in general
+
+
+def test_dictionary_grows_with_the_corpus(spark):
+    sized = lambda n: spark.createDataFrame([(b"x" * 49, n)], "word binary, n long")
+    assert [lmscore._room(sized(n)) for n in (1, 2 * 10**6, 6 * 10**8)] == [65_536, 80_000, 1_385_640]
+    assert lmscore._room(sized(1).filter("false")) == 65_536
+    content = " ".join(random.Random(4).sample([f"{k:07d}" for k in range(10**6)], 60_000)).encode()
+    early = b"".join(content[k : k + 24] for k in range(0, 2400, 240))  # the far end of a large dictionary is reached
+    assert len(lmscore._sizes(content, 3)(early)) < 0.7 * len(lmscore._sizes(b"", 3)(early))
+
+
 def test_empty_tables(spark):
     docs, labels = make(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     frames = [
