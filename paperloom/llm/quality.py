@@ -101,7 +101,7 @@ def _host() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
-def _judged(docs: DataFrame, least: int, share: float) -> tuple[Workspace, DataFrame, DataFrame]:
+def _judged(docs: DataFrame, least: int, power: float) -> tuple[Workspace, DataFrame, DataFrame]:
     """(workspace, measured documents, host and line of lines above the limit)."""
     ws = Workspace(docs.sparkSession, "quality")
     _, h = row_key()
@@ -111,8 +111,7 @@ def _judged(docs: DataFrame, least: int, share: float) -> tuple[Workspace, DataF
     texts = rows.groupBy("host", "th").agg(F.any_value("lines").alias("lines"))
     hosts = rows.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     common = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs_with")).filter(F.col("docs_with") > least)
-    # what is left are at most (lines of a text / share) lines of each host, with one row for each host
-    bad = common.join(hosts, "host").filter(F.col("docs_with") > F.greatest(F.lit(least), F.lit(share) * F.col("docs")))
+    bad = common.join(hosts, "host").filter(F.col("docs_with") > F.greatest(F.lit(float(least)), F.pow(F.col("docs").cast("double"), F.lit(power))))
     return ws, rows, ws.save(bad.select("host", "line", "docs_with"), "common")
 
 
@@ -127,18 +126,18 @@ def _removed(ws: Workspace, rows: DataFrame, bad: DataFrame) -> DataFrame:
     return counted.groupBy("uid").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
 
 
-def verdicts(docs: DataFrame, least: int = 20, share: float = 0.02, depleted: int = 90, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def verdicts(docs: DataFrame, least: int = 20, power: float = 1 / 3, depleted: int = 50, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """One row per document: doc_id, __h, the counts, base_failed, n_removed_words, kept, gone (hashes of its lines that go).
 
     Words are runs without ASCII blanks. base_failed: fewer than min_words words, or more than max_repeat percent of
     words in 5-word windows found twice or more. Lines are normalised (A-Z lower-cased, digits alike, blanks
     collapsed) and hashed; in each host (source; null is one more host) the distinct texts with a line are counted,
-    and lines of more than max(least, share * the host's distinct texts) go. A document that loses more than
+    and lines of more than max(least, the host's distinct texts ** power) go: 20 up to 8,000 texts, 150 of 3.3 million. A document that loses more than
     `depleted` percent of its words is not kept. Exact copies count once, so being copied makes no line common.
     Null and empty texts have no words and fail the base rule. Repeated rows are judged alike, an empty table gives
     no rows, and columns other than doc_id, text and source play no part.
     """
-    ws, rows, bad = _judged(docs, least, share)
+    ws, rows, bad = _judged(docs, least, power)
     out = rows.drop("lines", "line_words").join(_removed(ws, rows, bad), "uid", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     lost = F.coalesce("lost", F.lit(0))

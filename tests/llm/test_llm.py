@@ -260,6 +260,17 @@ def test_quality_counts_and_common_lines(spark, rows):
     assert "ooter" not in cleaned[205] and text(random.Random(5), 30) in cleaned[205] and 300 not in cleaned
 
 
+def test_boilerplate_of_a_hot_source_is_rejected(spark):
+    own = lambda k, n: " ".join(f"w{''.join(chr(97 + int(d)) for d in str(k * 1000 + j))}" for j in range(n))
+    footer = "all rights reserved by the publisher of these pages and every partner\nread more about our terms privacy and cookies here"
+    hot = [(k, own(k, 15), "en", "hot") for k in range(3000)]
+    hot += [(5000 + k, f"{footer}\n{own(5000 + k, 8)}", "en", "hot") for k in range(30)]  # 1 % of the source's texts; 20 of 28 words
+    hot += [(6000 + k, f"{footer}\n{own(6000 + k, 60)}", "en", "hot") for k in range(10)]
+    out = {r.doc_id: r for r in quality.verdicts(make(spark, hot)).collect()}
+    assert not any(out[5000 + k].kept or out[5000 + k].base_failed for k in range(30))
+    assert all(out[6000 + k].kept and out[6000 + k].n_removed_words > 15 for k in range(10)) and all(out[k].kept for k in range(3000))
+
+
 def corpus(n=240):
     rng = random.Random(8)
     vocabulary = {"en": ["the", "house", "river", "walking", "strong"], "fr": ["le", "maison", "rivière", "marchant", "forte"], "de": ["das", "haus", "fluß", "gehend", "stark"]}
