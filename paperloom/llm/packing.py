@@ -68,17 +68,29 @@ class Schedule:
         before = np.cumsum(step, 1) - step
         return out + np.clip((p - out.sum(1))[:, None] - before, 0, step)
 
+    def served_to(self, p: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of the sources `ranks` among the first p, of all sources before each of them); few p at a time."""
+        at_once = max(1, min(4096, (1 << 22) // max(len(self.tokens), 1)))
+        own, before = np.zeros((len(p), len(ranks)), np.int64), np.zeros((len(p), len(ranks)), np.int64)
+        for k in range(0, len(p), at_once):
+            all_ = self.served(p[k : k + at_once])
+            own[k : k + at_once] = all_[:, ranks]
+            before[k : k + at_once] = (np.cumsum(all_, 1) - all_)[:, ranks]
+        return own, before
+
     def span(self, source: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows [first, last] that surely hold the tokens [a, b) of a source; a few more at either end."""
         time = lambda j: (j // self.quantum + 0.5) * self.quantum / self.weights[source]
         slack = len(self.tokens) * self.quantum + 2
         early, late = time(a), time(b - 1)
-        first = self.due(early * (1 - 1e-12)).sum(1) - slack
-        last = self.due(late * (1 + 1e-12)).sum(1) + slack
+        at_once = max(1, (1 << 22) // max(len(self.tokens), 1))
+        ahead = lambda t: np.concatenate([self.due(t[k : k + at_once]).sum(1) for k in range(0, len(t), at_once)])
+        first = ahead(early * (1 - 1e-12)) - slack
+        last = ahead(late * (1 + 1e-12)) + slack
         return self.window(np.maximum(first, 0)), self.window(np.minimum(last, self.total - 1))
 
 
-def _tokenised(docs: DataFrame, vocabulary: str, end_id: int, queues: int, many: bool) -> DataFrame:
+def _tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Tokens of each document with their place in the queue of its source: within a partition, in the order of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,20 +98,19 @@ def _tokenised(docs: DataFrame, vocabulary: str, end_id: int, queues: int, many:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                keys, starts, ids = some.column("queue").to_pylist(), [], []
+                keys, starts, ids = some.column("source").to_pylist(), [], []
                 for key, text in zip(keys, some.column("text").to_pylist()):
                     x = encode(text) + end if text else end
                     starts.append(ahead.get(key, 0))
                     ahead[key] = starts[-1] + len(x) // 2
                     ids.append(x)
-                columns = [some.column(c) for c in ("doc_id", "source", "queue", "part")]
+                columns = [some.column(c) for c in ("doc_id", "source", "part")]
                 columns += [pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.record_batch(columns, ["doc_id", "source", "queue", "part", "start", "n", "ids"])
+                yield pa.record_batch(columns, ["doc_id", "source", "part", "start", "n", "ids"])
 
     source = F.col("source").cast("string")
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(queues))) if many else source
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source.alias("source"), queue.alias("queue"), F.spark_partition_id().alias("part"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, queue string, part int, start long, n long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source.alias("source"), F.spark_partition_id().alias("part"), "text")
+    return rows.mapInArrow(run, "doc_id long, source string, part int, start long, n long, ids binary")
 
 
 def _cut(plan: Schedule, batch: pa.RecordBatch, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -108,11 +119,11 @@ def _cut(plan: Schedule, batch: pa.RecordBatch, with_ids: bool) -> Iterator[pa.R
     doc, source = batch.column("doc_id"), batch.column("source")
     first, last = plan.span(rank, start, start + n)
     need = np.unique(np.concatenate([np.arange(x, y + 2) for x, y in zip(first, last)]))
-    served = np.concatenate([plan.served(plan.start(need[k : k + 4096])) for k in range(0, len(need), 4096)])
+    ranks, column = np.unique(rank, return_inverse=True)
+    served, inside = plan.served_to(plan.start(need), ranks)  # inside of the windows' ends minus starts: what earlier sources take
     row, s, size, w, offset, crc, cut = [], [], [], [], [], [], []
-    inside = np.cumsum(served, 1) - served  # of the windows' ends minus starts: what earlier sources take
     for i in range(len(n)):
-        lo, r = int(np.searchsorted(need, first[i])), rank[i]
+        lo, r = int(np.searchsorted(need, first[i])), column[i]
         hi = lo + int(last[i] - first[i]) + 2
         edge = served[lo:hi, r] - start[i]
         a, b = np.maximum(edge[:-1], 0), np.minimum(edge[1:], n[i])
@@ -134,39 +145,41 @@ def _cut(plan: Schedule, batch: pa.RecordBatch, with_ids: bool) -> Iterator[pa.R
 
 
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, length: int = 2048, quantum: int = 1, with_ids: bool = False,
-         vocabulary: str = "byte_bpe_50k", end_id: int = 1, queues: int = 1024) -> DataFrame:
+         vocabulary: str = "byte_bpe_50k", end_id: int = 1) -> DataFrame:
     """One row per piece of a document: where it lies in the document and in which sequence, at which offset.
 
     Every document (null and empty texts too: the end id alone) is tokenised once and cut freely over windows of
     `length` tokens so that each window holds every source within `quantum` tokens of its target share; `weights`
     gives the shares, by default in proportion to the sources' tokens, which uses up all queues at one time. Sources
-    that weights lacks come last. With more than `queues` sources, sources share that many queues by hash.
-    Repeated rows are documents of their own. Tokens are written once; no text or token is shuffled.
+    that weights lacks come last. Every source is a queue of its own, however many there are: each task holds one total
+    and weight a source, and the time a window takes grows with their number.
+    Repeated rows are documents of their own. Tokens are written once; no text is shuffled, and no token
+    up to a million pairs of a source and a task of the first pass.
     An empty table gives no rows. Columns other than doc_id, text and source play no part.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "pack")
-    many = docs.select("source").distinct().limit(queues + 1).count() > queues
-    tokens = ws.save(_tokenised(docs, vocabulary, end_id, queues, many), "tokens")
-    parts = ws.save(tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "parts")
-    totals = sorted(((r["queue"], r["tokens"]) for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()), key=lambda x: (x[0] is None, x[0]))
+    tokens = ws.save(_tokenised(docs, vocabulary, end_id), "tokens")
+    parts = ws.save(tokens.groupBy("source", "part").agg(F.sum("n").alias("tokens")), "parts")
+    totals = sorted(((r["source"], r["tokens"]) for r in parts.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()), key=lambda x: (x[0] is None, x[0]))
     schema = _PIECES + ", ids array<int>" * with_ids
     if not totals:
         return spark.createDataFrame([], schema)
-    shares = [weights.get(q, 0) for q, _ in totals] if weights and not many else None
+    shares = [weights.get(q, 0) for q, _ in totals] if weights else None
     plan = Schedule([t for _, t in totals], shares, length, quantum)
-    ranks = F.create_map(*[F.lit(x) for k, (q, _) in enumerate(totals) if q is not None for x in (q, k)]) if totals[0][0] is not None else None
-    rank = F.lit(len(totals) - 1) if ranks is None else F.coalesce(ranks[F.col("queue")], F.lit(len(totals) - 1))
-    before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), rank.alias("rank"))
+    shared = spark.sparkContext.broadcast(plan)
+    ranks = spark.createDataFrame([(q, k) for k, (q, _) in enumerate(totals)], "s string, rank int")
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = parts.select(F.col("source").alias("q"), F.col("part").alias("p"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    bases = bases.join(ranks, F.col("q").eqNullSafe(F.col("s"))).select("q", "p", "base", "rank")
     # one row for each task of the first pass and source: broadcast up to a million of them, else shuffled
     bases = F.broadcast(bases) if parts.count() <= 1_000_000 else bases
-    rows = tokens.join(bases, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
+    rows = tokens.join(bases, F.col("source").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                yield from _cut(plan, batch.slice(at, 1024), with_ids)
+                yield from _cut(shared.value, batch.slice(at, 1024), with_ids)
 
     return rows.select("doc_id", "source", "start", "base", "n", "rank", "ids").mapInArrow(run, schema)
 

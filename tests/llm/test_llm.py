@@ -219,6 +219,27 @@ def test_packing_is_gapless_and_exact(spark, rows):
             assert (i, tuple(x for p in g.ids for x in p)) in want
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_every_source_is_a_queue_and_has_its_weight(spark, weighted):
+    docs = make(spark, [(3 * k + j, "one two three four five six seven", "en", f"host{k:04d}") for k in range(1030) for j in range(3)] + [(9000 + j, "one " * 50, "en", None) for j in range(3)])
+    weights = {f"host{k:04d}": 3.0 if k < 10 else 1.0 for k in range(1030)} | {None: 1.0}
+    out = packing.pack(docs, weights if weighted else None, length=512).toPandas()
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum() - g.length).all()
+    out["source"] = out.source.fillna("null")
+    total = out.groupby("source").length.sum()
+    plan = packing.Schedule(total[sorted(total.index, key=lambda x: (x == "null", x))].tolist(), [*[3.0] * 10, *[1.0] * 1021] if weighted else None, 512)
+    served = np.diff(plan.served(plan.start(np.arange(plan.windows + 1))), axis=0)
+    got = out.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    assert (got[sorted(got.columns, key=lambda x: (x == "null", x))].to_numpy() == served).all()
+    early = out[out.sequence_id < 10].groupby("source").length.sum()
+    own = early.reindex([f"host{k:04d}" for k in range(1030)], fill_value=0).to_numpy()
+    if weighted:  # 5,120 tokens in shares of 3 and 1
+        assert abs(own[:10].mean() - 3 * own[10:].mean()) < 1.5
+    else:
+        assert np.abs(own - 5120 * total.iloc[0] / total.sum()).max() <= 1.5
+
+
 @pytest.mark.parametrize("weights", [None, [5.0, 1.0, 1.0], [0.0, 1.0, 3.0]])
 def test_schedule_carries_deficits(weights):
     plan = packing.Schedule([50_000, 9_000, 777], weights, 64, 4)
