@@ -87,6 +87,29 @@ def vector_topk_batch(spark, sf):
     return _batch(spark, sf, 5).select("qid", "vec_id", six("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _hundredth(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvector"))
+
+
+def _hundredths(score: str, where: str = "") -> str:
+    """SQL of the ten nearest rows of every 100th vector."""
+    return f"""WITH e AS ({_UNIT}), s AS (SELECT q.vec_id AS qid, a.vec_id, a.label, {score} AS s FROM e a, e q WHERE q.vec_id % 100 = 0 {where}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, label, round(s, 6) AS score, rank FROM r WHERE rank <= 10"""
+
+
+@query(_hundredths("list_inner_product(a.v, q.v) / (a.n * q.n)", "AND a.label IN (1, 2, 3)"))
+def vector_topk_filtered_batch(spark, sf):
+    v = _vectors(spark, sf)
+    hits = search.top_k_batch(v.filter(search.matches(v, {"label": [1, 2, 3]})), _hundredth(spark, sf), 10, id_col="vec_id")
+    return hits.select("qid", "vec_id", "label", six("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_hundredths("1 - list_sum(list_transform(list_zip(a.v, q.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"))
+def vector_topk_l2_batch(spark, sf):
+    hits = search.top_k_batch(_vectors(spark, sf), _hundredth(spark, sf), 10, metric="l2", id_col="vec_id")
+    return hits.select("qid", "vec_id", "label", six("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean_norm FROM embeddings GROUP BY label")
 def vector_count(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), six(F.avg(search.norm(F.col("embedding")))).alias("mean_norm"))

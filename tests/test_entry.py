@@ -40,6 +40,13 @@ def test_entry_gives_rows(spark):
         assert queries.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", ["vector_topk_filtered_batch", "vector_topk_l2_batch"])
+def test_every_hundredth_vector_is_a_query(spark, name):
+    wanted = {r.vec_id for r in queries.table(spark, str(DATA), "embeddings").filter("vec_id % 100 = 0").collect()}
+    assert {r.qid for r in queries.QUERIES[name](spark, str(DATA)).collect()} == wanted
+
+
 def test_entry_imports_without_optional_parts(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['paperloom.llm'] = None\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries()) and len(e.oracle_sql()) > 40"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
