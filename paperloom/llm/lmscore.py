@@ -69,7 +69,7 @@ def _room(counts: DataFrame) -> int:
 def dictionaries(docs: DataFrame, domain: DataFrame | np.ndarray, size: int | None = None) -> tuple[bytes, bytes]:
     """(in-domain, general) dictionary contents of at most `size` bytes each; by default that grows with the corpus.
 
-    Words are counted over all documents, and over those of the domain (doc_ids); those that save most, by count and
+    Words of at most 64 bytes (longer runs without a blank are dropped) are counted over all documents, and over those of the domain (doc_ids); those that save most, by count and
     length, are laid out with the best last, where references to them are shortest. Only the words that can get in (at
     most size / 4 of each ranking) come to the driver: the least gain among them is found first.
     """
