@@ -388,11 +388,14 @@ _TITLES = ["Tutorial: start", "API of x", "FAQ", "Settings", "Plain", "How to in
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda xs, c: F.element_at(F.array(*[F.lit(x) for x in xs]), (c % len(xs) + 1).cast("int"))
+    fenced = lambda x, k: F.when((k + 1) % 7 == 4, "```sql").when((k + 1) % 7 == 0, "```").otherwise(x)
     d, i = table(spark, sf, "documents", busy=True), F.col("doc_id")
+    # whole texts; two lines of each seven are code, in _joined()'s blocks there are none
+    d = d.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), fenced), "\n").alias("markdown"))
     return d.select(
         "doc_id", F.concat(F.lit("https://x.org"), pick(_PATHS, i)).alias("url"), pick(_TITLES, i + (i / 8).cast("long") % 2).alias("title"),
-        F.array(pick(["Step 1", "Parameters", "Notes"], i)).alias("headings"), F.col("text").alias("markdown"),
-        F.array(F.struct(F.lit("text").alias("language"), F.substring("text", 1, 20).alias("content"))).alias("code_blocks"),
+        F.array(pick(["Step 1", "Parameters", "Notes"], i)).alias("headings"), "markdown",
+        text.code_blocks(F.col("markdown")).alias("code_blocks"),
         F.array(pick(["Tutorial", "Home", "FAQ"], i)).alias("breadcrumb"), F.create_map(F.lit("page:class"), pick(["faq", "none"], i)).alias("raw_metadata"),
     )
 

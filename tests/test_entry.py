@@ -47,6 +47,14 @@ def test_every_hundredth_vector_is_a_query(spark, name):
     assert {r.qid for r in queries.QUERIES[name](spark, str(DATA)).collect()} == wanted
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_pages_are_classified_by_whole_texts(spark):
+    rows = queries._typed(spark, str(DATA)).collect()
+    share = [sum(len(b.content) for b in r.code_blocks) / max(len(r.markdown), 1) for r in rows if r.markdown]
+    assert any(len(r.code_blocks) > 1 for r in rows) and sum(x > 0.1 for x in share) > len(share) / 20
+    assert all(b.content in r.markdown for r in rows for b in r.code_blocks or [])
+
+
 def test_entry_imports_without_optional_parts(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['paperloom.llm'] = None\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries()) and len(e.oracle_sql()) > 40"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
