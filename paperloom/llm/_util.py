@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _own_dir: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
+#: Catalog tables over scratch folders, dropped with them.
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def ascii_lower(raw: bytes) -> bytes:
@@ -60,6 +62,9 @@ class Workspace:
 
 def release() -> None:
     """Deletes every scratch table made so far; results computed from them must have been written before."""
+    while _tables:
+        spark, name = _tables.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _made:
         spark, path = _made.pop()
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -101,17 +106,18 @@ def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield i, len(texts)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], n: str) -> DataFrame:
     """Inner join of rows with one row per key, safe against hot keys.
 
-    `n` counts a key's rows and sums to at most `total`; keys above total/1000 are at most 1000, hence broadcast
+    `n` counts a key's rows; keys with more than a thousandth of its sum are fewer than 1000, hence broadcast
     whatever the size of the data, and every other key is small enough for one task of a shuffled join.
     """
     keys = [key] if isinstance(key, str) else key
-    limit = max(total // 1000, 20_000)
-    hot = groups.filter(F.col(n) > limit)
-    if hot.isEmpty():
+    total, most = groups.agg(F.sum(n), F.max(n)).first()
+    limit = max((total or 0) // 1000, 20_000)
+    if (most or 0) <= limit:
         return rows.join(groups, keys)
+    hot = groups.filter(F.col(n) > limit)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(n) <= limit), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 

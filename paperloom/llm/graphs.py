@@ -47,7 +47,7 @@ def _star(ws: Workspace, edges: DataFrame, large: bool, name: str) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = ws.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), f"{name}-least")
-    joined = join_groups(both, least, "a", "n", both.count())
+    joined = join_groups(both, least, "a", "n")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

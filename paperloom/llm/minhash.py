@@ -136,26 +136,39 @@ def _verify(percent: int):
     return run
 
 
-def _large_groups(ws: Workspace, texts: DataFrame, percent: int, tag: str, at_a_time: int = 64) -> DataFrame:
+def _within(found: list, most: int) -> list:
+    """The first of (sid, shingles) that hold at most `most` shingles together, one at least."""
+    room, out = most, []
+    for sid, n in found:
+        room -= n
+        if out and room < 0:
+            break
+        out.append(sid)
+    return out
+
+
+def _large_groups(ws: Workspace, texts: DataFrame, percent: int, tag: str, at_a_time: int = 64, at_once: int = GROUP_SHINGLES) -> DataFrame:
     """Roots for groups too large for a task: their sets stay spread over all tasks, and some sets of each group, the
-    smallest components' first, are compared with all of it in each round until one open component is left."""
+    smallest components' first, are compared with all of it in each round until one open component is left. The sets
+    of a round, which every task gets, hold at most `at_once` shingles (8 bytes each) or are one set. A round joins its
+    new links with the roots so far, so plans don't grow."""
     spark = ws.spark
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = [x.tobytes() for x in _texts_shingles(raw_texts(batch.column("text")))]
-        yield pa.record_batch([batch.column("g"), batch.column("sid"), pa.array(own, pa.binary())], ["g", "sid", "own"])
+        yield pa.record_batch([batch.column("g"), batch.column("sid"), pa.array([len(x) // 8 for x in own], pa.int64()), pa.array(own, pa.binary())], ["g", "sid", "n", "own"])
 
-    sets = ws.save(arrow_rows(texts, make, "g long, sid long, own binary"), f"{tag}-sets")
-    state = ws.save(sets.select("g", "sid", F.col("sid").alias("root"), F.lit(False).alias("done")).distinct(), f"{tag}-state-0")
-    links = None
+    sets = ws.save(arrow_rows(texts, make, "g long, sid long, n long, own binary"), f"{tag}-sets")
+    state = ws.save(sets.select("g", "sid", "n", F.col("sid").alias("root"), F.lit(False).alias("done")).distinct(), f"{tag}-state-0")
     for k in range(1, 1_000_000):
         size = state.groupBy("g", "root").agg(F.count("*").alias("size"), F.bool_and("done").alias("closed"))
         opened = size.filter("not closed")
         busy = opened.groupBy("g").agg(F.count("*").alias("open")).filter("open > 1").select("g")
         pick = state.filter("not done").join(size.select("root", "size"), "root").join(busy, "g")
         rank = F.row_number().over(W.partitionBy("g").orderBy("size", "sid"))
-        # at most at_a_time sets of each group, and 512 in all: what is broadcast is bounded
-        chosen = [r["sid"] for r in pick.withColumn("rank", rank).filter(F.col("rank") <= at_a_time).orderBy("rank").limit(512).select("sid").collect()]
+        # at most at_a_time sets of each group, and 512 in all
+        best = pick.withColumn("rank", rank).filter(F.col("rank") <= at_a_time).orderBy("rank", "sid").limit(512)
+        chosen = _within([(r["sid"], r["n"]) for r in best.select("sid", "n").collect()], at_once)
         if not chosen:
             return state.select("sid", "root")
         query = spark.sparkContext.broadcast([(r["g"], r["sid"], bytes(r["own"])) for r in sets.filter(F.col("sid").isin(chosen)).dropDuplicates(["sid"]).collect()])
@@ -174,10 +187,10 @@ def _large_groups(ws: Workspace, texts: DataFrame, percent: int, tag: str, at_a_
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         new = ws.save(arrow_rows(sets, compare, "a long, b long"), f"{tag}-links-{k}")
-        links = new if links is None else links.unionByName(new)
+        links = new.unionByName(state.select(F.col("sid").alias("a"), F.col("root").alias("b")))
         roots = graphs.components(Workspace(spark, "near-links"), links).select(F.col("node").alias("sid"), F.col("root").alias("least"))
         state = state.withColumn("done", F.col("done") | F.col("sid").isin(chosen)).join(roots, "sid", "left")
-        state = ws.save(state.select("g", "sid", F.coalesce("least", "sid").alias("root"), "done"), f"{tag}-state-{k}")
+        state = ws.save(state.select("g", "sid", "n", F.coalesce("least", "sid").alias("root"), "done"), f"{tag}-state-{k}")
     raise AssertionError
 
 
@@ -202,7 +215,7 @@ def near_groups(docs: DataFrame, percent: int = 80, permutations: int = 256, row
     sets = ws.save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     keys = sets.select("sid", F.explode("bands").alias("key"))
     buckets = ws.save(keys.groupBy("key").agg(F.min("sid").alias("least"), F.count("*").alias("m")).filter("m > 1"), "buckets")
-    edges = join_groups(keys, buckets, "key", "m", sets.count()).select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    edges = join_groups(keys, buckets, "key", "m").select(F.col("sid").alias("a"), F.col("least").alias("b"))
     groups = graphs.components(ws, edges, at_once).select(F.col("node").alias("sid"), F.col("root").alias("g"))
     members = ws.save(groups.join(sets.select("sid", "rep", "n_shingles"), "sid"), "members")
     sizes = ws.save(members.groupBy("g").agg(F.sum("n_shingles").alias("shingles")), "group-sizes")
@@ -227,7 +240,7 @@ def near_groups(docs: DataFrame, percent: int = 80, permutations: int = 256, row
     # without a null id the least row of a component is that of its id
     first = F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("least_rep"))
     sets = ws.save(sets.select("set", "n", F.coalesce("component_id", "first_id").alias("component_id"), first.alias("first")), "components")
-    full = join_groups(sketch.filter("n_shingles > 0").drop("bands"), sets, "set", "n", sketch.count())
+    full = join_groups(sketch.filter("n_shingles > 0").drop("bands"), sets, "set", "n")
     columns = ["__id", "__h", "n_shingles", "component_id", "first"]
     empty = sketch.filter("n_shingles = 0").withColumn("component_id", F.col("__id")).withColumn("first", own)
     out = full.select(*columns).unionByName(empty.select(*columns))

@@ -122,7 +122,7 @@ def _removed(ws: Workspace, rows: DataFrame, bad: DataFrame) -> DataFrame:
     counted = pairs.join(F.broadcast(bad.select("host", "line")), ["host", "line"]) if bad.count() <= 100_000 else None
     if counted is None:
         keys = ws.save(pairs.groupBy("host", "line").agg(F.count("*").alias("m")).join(bad.select("host", "line"), ["host", "line"]), "common-rows")
-        counted = join_groups(pairs, keys, ["host", "line"], "m", rows.count())
+        counted = join_groups(pairs, keys, ["host", "line"], "m")
     return counted.groupBy("uid").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
 
 

@@ -168,18 +168,17 @@ def spans(docs: DataFrame, size: int = 400, digit: int = 100, width: int = 20) -
     ws = Workspace(docs.sparkSession, "suffix")
     keyed = docs.select(*row_key(), "text")
     runs = ws.save(arrow_rows(keyed, _runs(size, digit), "__id long, __h long, place long, key long, span long"), "runs")
-    total = runs.count()
     keys = ws.save(runs.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "keys")
-    again = ws.save(join_groups(runs, keys, "key", "m", total), "again")
+    again = ws.save(join_groups(runs, keys, "key", "m"), "again")
     classes = again.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__h", "place")).alias("rep"))
     classes = ws.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    whole = join_groups(again.drop("m"), classes.filter("n > 1").select("key", "span", "n"), ["key", "span"], "n", total)
+    whole = join_groups(again.drop("m"), classes.filter("n > 1").select("key", "span", "n"), ["key", "span"], "n")
     a, far, near = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(4095), F.col("place").bitwiseAND(4095)
     pack = lambda start, end: F.shiftleft(start.cast("bigint"), 32).bitwiseOR(end.cast("bigint")).alias("range")
     found = whole.select("__id", "__h", pack(a - far, a - near + size))
 
     mixed = ws.save(classes.groupBy("key").agg(F.bool_or(F.col("n") == 1).alias("open"), F.count("*").alias("k")).filter("open and k > 1"), "mixed")
-    parts = join_groups(classes, mixed, "key", "k", total).select("cid", "key", "n", "rep.*")
+    parts = join_groups(classes, mixed, "key", "k").select("cid", "key", "n", "rep.*")
     wanted = parts.groupBy("__id", "__h").agg(F.collect_list(F.struct("cid", "key", "n", "place")).alias("wanted"))
     wanted = wanted.select(F.col("__id").alias("__a"), F.col("__h").alias("__b"), "wanted")
     same = F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__h") == F.col("__b"))
@@ -189,16 +188,16 @@ def spans(docs: DataFrame, size: int = 400, digit: int = 100, width: int = 20) -
 
     blocks = ws.save(arrow_rows(contexts, _digits(size, width, False), "cid long, n long, key long, block long, p long, q long, core long, span long"), "blocks")
     cores = blocks.groupBy("key", "core").agg(F.sum("n").alias("seen"), F.count("*").alias("m")).filter("seen > 1")
-    some = ws.save(join_groups(blocks, ws.save(cores, "cores"), ["key", "core"], "m", total), "cored")
+    some = ws.save(join_groups(blocks, ws.save(cores, "cores"), ["key", "core"], "m"), "cored")
     kinds = ws.save(some.groupBy("key", "core", "span").agg(F.sum("n").alias("seen"), F.count("*").alias("k")), "kinds")
     open_ = ws.save(kinds.groupBy("key", "core").agg(F.bool_or(F.col("seen") == 1).alias("open"), F.sum("k").alias("k")).filter("open"), "open")
-    repeated = join_groups(some.filter("n = 1").drop("seen", "m"), kinds.filter("seen > 1"), ["key", "core", "span"], "k", total).select("cid", "p", "q")
-    deeper = join_groups(some.select("cid", "block", "key", "core"), open_, ["key", "core"], "k", total)
+    repeated = join_groups(some.filter("n = 1").drop("seen", "m"), kinds.filter("seen > 1"), ["key", "core", "span"], "k").select("cid", "p", "q")
+    deeper = join_groups(some.select("cid", "block", "key", "core"), open_, ["key", "core"], "k")
     deeper = deeper.groupBy("cid").agg(F.collect_list("block").alias("blocks"))
     leaves = arrow_rows(contexts.join(deeper, "cid"), _digits(size, width, True), "cid long, n long, key long, offset long, window long")
     leaves = ws.save(leaves, "leaves")
     twice = ws.save(leaves.groupBy("key", "window").agg(F.sum("n").alias("seen"), F.count("*").alias("k")).filter("seen > 1"), "twice")
-    single = join_groups(leaves.filter("n = 1").drop("n"), twice, ["key", "window"], "k", total).select("cid", F.col("offset").alias("p"), F.col("offset").alias("q"))
+    single = join_groups(leaves.filter("n = 1").drop("n"), twice, ["key", "window"], "k").select("cid", F.col("offset").alias("p"), F.col("offset").alias("q"))
     at = classes.filter("n = 1").select("cid", "rep.*")
     parts = repeated.unionByName(single).join(at, "cid").select("__id", "__h", pack(a - F.col("q"), a - F.col("p") + size))
     return found.unionByName(parts).groupBy("__id", "__h").agg(F.collect_set("range").alias("spans"))

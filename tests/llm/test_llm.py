@@ -77,6 +77,10 @@ def test_near_duplicates_are_those_of_brute_force(spark, rows, how):
     assert sorted(map(tuple, got), key=str) == brute_near(rows)
 
 
+def test_a_round_of_a_large_group_is_bounded():
+    assert minhash._within([(1, 900), (2, 50), (3, 60), (4, 1)], 1000) == [1, 2] and minhash._within([(1, 9000)], 1000) == [1] and minhash._within([], 5) == []
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, rows):
     docs = make(spark, rows)
     out = minhash.dedup(docs)
@@ -106,7 +110,7 @@ def test_components_in_rounds_and_at_once(spark):
 def test_hot_keys_join_whole(spark):
     rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
-    assert join_groups(rows, groups, "k", "n", 60_000).count() == 60_000
+    assert join_groups(rows, groups, "k", "n").count() == 60_000
 
 
 def brute_removal(rows, size):
@@ -169,13 +173,38 @@ def test_exact_dedup(spark, rows):
 
 
 def test_digest_index_persists(spark, tmp_path):
-    index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    open_ = lambda: exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    index = open_()
     a, b = make(spark, [(1, "a"), (2, "b")]), make(spark, [(3, "B"), (4, "c"), (5, "C")])
-    assert exact.dedup(a, index).count() == 2
-    assert [r.doc_id for r in exact.dedup(b, exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)).collect()] == [5]
-    assert index.read().count() == 3
+    assert exact.ingest(a, index, "one", f"{tmp_path}/one").count() == 2
+    assert [r.doc_id for r in exact.dedup(b, open_()).collect()] == [5] and index.read().count() == 2  # a look-up alone adds nothing
+    out = exact.ingest(b, open_(), "two", f"{tmp_path}/two")
+    assert out.schema == b.schema and [r.doc_id for r in out.collect()] == [5] and index.read().count() == 3
     plan = index.unseen(index.read())._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "hashpartitioning" not in plan
+    assert exact.verdicts(b, index).filter("is_new").count() == 0
+
+
+def test_ingest_survives_failures(spark, tmp_path):
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    docs = make(spark, [(k, f"text {k % 40}") for k in range(60)])
+    exact._kept(docs, index, "b")  # dies before its output is written
+    assert exact.ingest(docs, index, "b", f"{tmp_path}/out").count() == 40
+    assert exact.ingest(docs, index, "b", f"{tmp_path}/out").count() == 40 and index.read().count() == 40  # dies after the append
+    assert exact.ingest(docs, index, "c", f"{tmp_path}/out-c").count() == 0
+
+
+def test_compacted_index_and_its_tables(spark, tmp_path):
+    index = exact.DigestIndex(spark, f"file://{tmp_path}/index", 2)
+    for k in range(3):
+        exact.ingest(make(spark, [(j, f"t{j}") for j in range(10 * k, 10 * k + 15)]), index, str(k), f"{tmp_path}/out")
+    index.compact()
+    again = exact.DigestIndex(spark, f"file://{tmp_path}/index", 2)
+    files = list(tmp_path.glob("index/gen-1/*.parquet"))
+    assert again.generation == 1 and again.read().count() == 35 and len(files) == 2 and not list(tmp_path.glob("index/gen-0"))
+    assert exact.dedup(make(spark, [(1, "T3"), (2, "new")]), again).count() == 1
+    other = exact.DigestIndex(spark, f"file://{tmp_path}/other", 2)
+    assert other.table != again.table and other.read().count() == 0
 
 
 def test_mix_meets_targets(spark, rows):
