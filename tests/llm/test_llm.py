@@ -351,10 +351,69 @@ def test_language_of_held_out_texts(spark):
     assert langid.predict(docs, langid.fit(docs.filter("false"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def brute_language(counts, t, longest=4, least=2):
+    """Word by word with dictionaries."""
+    langs = sorted(counts)
+    grams = lambda w, n: (lambda x: [x[k : k + n] for k in range(len(x) - n + 1)])(f"<{w}>" if n > 1 else w)
+    tables = [{x: collections.Counter() for x in langs} for _ in range(longest + 1)]
+    for x in langs:
+        for w, n in counts[x].items():
+            tables[0][x][w] += n
+            for size in range(1, longest + 1):
+                for g in grams(w, size):
+                    tables[size][x][g] += n
+    kinds = [len(set().union(*t.values())) for t in tables]
+    log = lambda k, g: np.array([np.log((tables[k][x][g] + 0.5) / (sum(tables[k][x].values()) + 0.5 * (kinds[k] + 1))) for x in langs])
+    words = re.findall(r"[^\W\d_]+", (t or "").lower())
+    words = [w for w in words if w.isalpha()]
+    if not words or not langs:
+        return "und", 0.0
+    total = np.zeros(len(langs))
+    for w in words:
+        if sum(tables[0][x][w] for x in langs) >= least:
+            total += log(0, w)
+            continue
+        for step, n in enumerate(range(longest, 0, -1), 1):
+            known = [log(n, g) for g in grams(w, n) if any(tables[n][x][g] for x in langs)]
+            if known:
+                total += np.mean(known, 0) + step * np.log(0.5)
+                break
+    x = total / len(words) * min(len(words), 10)
+    p = np.exp(x - x.max())
+    return langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+@pytest.mark.parametrize("chars", [None, 40])
+def test_language_is_that_of_brute_force(monkeypatch, chars):
+    rows, _ = corpus(60)
+    if chars:
+        monkeypatch.setattr(langid, "_CHARS", chars)
+        monkeypatch.setattr(langid, "_CELLS", 12)
+    counts = collections.defaultdict(collections.Counter)
+    for _, t, lang, _ in rows[:40]:
+        counts[lang].update(re.findall(r"[^\W\d_]+", t.lower()))
+    texts = [r[1] for r in rows] + [None, "", "1 2", "riv maisonette zzq", "x" * 300 + " maison", "qq", "ÉÉ Maison_river", "a" + "é" * 90, rows[3][1] * 30]
+    names, score = langid.Model(counts).predict(texts)
+    for t, name, own in zip(texts, names, score):
+        want = brute_language(counts, t)
+        assert own == pytest.approx(want[1], abs=1e-3) and (name == want[0] or want[1] < 0.51), t
+    assert langid.Model({}).predict(["a", None]) == (["und", "und"], pytest.approx([0, 0]))
+
+
 def test_backoff_goes_to_shorter_ngrams():
     model = langid.Model({"a": collections.Counter({"banana": 9, "xyz": 1}), "b": collections.Counter({"kiwi": 9})})
-    assert "xyz" not in model.words and np.argmax(model.weigh("banan")) == 0 and np.argmax(model.weigh("kiw")) == 1
-    assert (model.weigh("qq") == 0).all()
+    assert model.predict(["banan", "kiw", "xyz"])[0] == ["a", "b", "a"] and model.predict(["qq"])[1] == 0.5
+
+
+def test_no_letter_is_undetermined():
+    model = langid.Model({"en": collections.Counter({"the": 9})})
+    assert model.predict(["²³", "①", "½", "ⅷ", "_", "3 ²x"])[0] == ["und"] * 5 + ["en"]
+
+
+def test_every_language_is_learned(spark):
+    docs = make(spark, [(3 * k + j, f"word{chr(97 + k // 26)}{chr(97 + k % 26)} {j}", f"l{k:03d}") for k in range(300) for j in range(3)])
+    assert len(langid.fit(docs).languages) == 300 and len(langid.fit(docs, max_documents=10).languages) == 300
+    assert langid.fit(docs, max_documents=600, least=1).words[0].shape == (300,)
 
 
 def test_toxic_words_are_induced(spark):
