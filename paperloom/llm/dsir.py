@@ -12,64 +12,62 @@ from pyspark.sql import functions as F
 from paperloom import ensure_importable
 
 from ._util import Workspace, documents, raw_texts, row_key, slices
-from .hashing import Substrings, mix, word_bounds
+from .hashing import Substrings, mix
 
 QUERY = "op6_quality_classifier"
 _U = np.uint64
-#: Buckets of byte 4-grams, and of 2-grams of word shapes.
-CHARS, SHAPES = 1 << 16, 1 << 12
+#: Buckets of hashed words, and as many of hashed pairs of words.
+BUCKETS = 1 << 16
 #: Labelled documents that the target model and the threshold are fitted on, at most.
 MAX_LABELLED = 200_000
-SCALE = 100.0
-_CASE = np.zeros(256, np.int64)
-_CASE[65:91], _CASE[0xC3], _CASE[128:0xC3], _CASE[0xC4:] = 1, 2, 2, 2
-_LAST = np.zeros(256, np.int64)
-_LAST[list(b".")], _LAST[list(b",;:")], _LAST[list(b"!?")], _LAST[list(b"#*$%&|<>@^~=+_")], _LAST[48:58] = 1, 2, 3, 4, 5
+#: Kinds of bytes: blank, letter (every byte beyond ASCII too), digit, sign.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+#: Stands for a word that repeats the word before it, whatever word it is.
+_AGAIN = _U(0x5851F42D4C957F2D)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of all byte 4-grams, their offsets by text, buckets of all word-shape 2-grams, their offsets).
+    """(bucket of each word, bucket of each word with the one before it, whether there is such a one, offsets by text).
 
-    A word's shape: does it repeat the word before, the case of its first two bytes, its last byte's kind, its length.
+    Words are runs of letters, of digits or of signs, case kept; one that repeats the word before it (signs between
+    them aside) becomes one and the same word of its own, so repetition has n-grams however rare the repeated words.
     """
-    raw = b" ".join(texts)
+    raw = b"\n".join(texts) + b"\n"
+    kind = np.zeros(len(raw) + 2, np.uint8)
     buf = np.frombuffer(raw, np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    starts = ends - [len(t) for t in texts]
-    n = max(len(buf) - 3, 0)
-    x = buf[:n].astype(_U)
-    for k in range(1, 4):
-        x = x << _U(8) | buf[k : n + k]
-    chars = (mix(x + _U(1)) >> _U(48)).astype(np.int64)
-    count = np.maximum(ends - starts - 3, 0)
-    first = np.cumsum(count) - count
-    at = np.arange(count.sum()) + np.repeat(starts - first, count)
-    s, e = word_bounds(buf)
-    words = np.searchsorted(s, np.append(starts, len(buf) + 1))
-    owner = np.repeat(np.arange(len(texts)), np.diff(words))
-    h = mix(Substrings(buf).hash(s, e) + (e - s).astype(_U)) if len(s) else np.zeros(0, _U)
-    same = np.zeros(len(s), np.int64)
-    same[1:] = h[1:] == h[:-1]
-    second = np.minimum(s + 1, e - 1)
-    length = np.minimum(np.log2(np.maximum(e - s, 1)).astype(np.int64), 3)
-    shape = ((same * 3 + _CASE[buf[s]]) * 2 + (_CASE[buf[second]] == 1)) * 6 + _LAST[buf[e - 1]]
-    shape = shape * 4 + length
-    pair = np.flatnonzero(owner[1:] == owner[:-1]) if len(s) else np.zeros(0, np.int64)
-    shapes = (mix((shape[pair] * 4096 + shape[pair + 1]).astype(_U)) >> _U(52)).astype(np.int64)
-    return chars[at], np.append(first, count.sum()), shapes, np.searchsorted(owner[pair], np.arange(len(texts) + 1))
+    kind[1:-1] = _KIND[buf]
+    change = np.flatnonzero(kind[1:] != kind[:-1])
+    s, e = change[:-1], change[1:]
+    kinds = kind[s + 1]
+    s, e, kinds = s[kinds > 0], e[kinds > 0], kinds[kinds > 0]
+    edges = np.concatenate([[0], np.searchsorted(s, np.cumsum([len(t) + 1 for t in texts]))])
+    h = mix(Substrings(buf).hash(s, e) + (e - s).astype(_U))
+    owner = np.repeat(np.arange(len(texts)), np.diff(edges))
+    word = np.flatnonzero(kinds < 3)
+    again = word[1:][(h[word[1:]] == h[word[:-1]]) & (owner[word[1:]] == owner[word[:-1]])]
+    h[again] = _AGAIN
+    inner = np.ones(len(s), bool)
+    inner[edges[:-1][np.diff(edges) > 0]] = False
+    before = np.concatenate([h[:1], h[:-1]])
+    pair = mix(before * _U(0x9E3779B97F4A7C15) + h)
+    return (h >> _U(48)).astype(np.int64), (pair >> _U(48)).astype(np.int64), inner, edges
 
 
 def _counted(target: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CHARS + SHAPES), np.int64)
+        total = np.zeros((2, 2 * BUCKETS), np.int64)
         for batch in batches:
             texts = raw_texts(batch.column("text"))
             labelled = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), target)
             for i, j in slices(texts):
-                chars, at, shapes, bt = features(texts[i:j])
-                total[0] += np.bincount(np.concatenate([chars, shapes + CHARS]), minlength=CHARS + SHAPES)
-                own = np.repeat(labelled[i:j], np.diff(at)), np.repeat(labelled[i:j], np.diff(bt))
-                total[1] += np.bincount(np.concatenate([chars[own[0]], shapes[own[1]] + CHARS]), minlength=CHARS + SHAPES)
+                one, two, inner, edges = features(texts[i:j])
+                own = np.repeat(labelled[i:j], np.diff(edges))
+                for k, some in enumerate((slice(None), own)):
+                    total[k, :BUCKETS] += np.bincount(one[some], minlength=BUCKETS)
+                    total[k, BUCKETS:] += np.bincount(two[some][inner[some]], minlength=BUCKETS)
         k = np.flatnonzero(total[0])
         yield pa.record_batch([pa.array(k), pa.array(total[0, k]), pa.array(total[1, k])], ["bucket", "raw", "target"])
 
@@ -84,16 +82,15 @@ def _gumbel(key: np.ndarray, seed: int) -> np.ndarray:
 def _weigh(ratio: np.ndarray, seed: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Log importance weight of each text, alone and with its Gumbel noise.
 
-    The log ratio is taken for each n-gram on average and scaled by SCALE: summed over a text, the small errors of
-    the models would make long texts' weights differ by more than any junk in short ones.
+    The log ratios of a text's n-grams are summed and tempered by the root of its number of words: errors of the models
+    add up like that, so a plain sum would let those of long texts outweigh junk in short ones.
     """
     texts = raw_texts(batch.column("text"))
     out = np.zeros(len(texts))
     for i, j in slices(texts):
-        chars, at, shapes, bt = features(texts[i:j])
-        for x, edges in ((ratio[chars], at), (ratio[CHARS + shapes], bt)):
-            sums = np.concatenate([[0.0], np.cumsum(x)])
-            out[i:j] += SCALE * (sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(np.diff(edges), 1)
+        one, two, inner, edges = features(texts[i:j])
+        sums = np.concatenate([[0.0], np.cumsum(ratio[one] + np.where(inner, ratio[BUCKETS + two], 0.0))])
+        out[i:j] = (sums[edges[1:]] - sums[edges[:-1]]) / np.sqrt(np.maximum(np.diff(edges), 1))
     return out, out + _gumbel(batch.column("__h").to_numpy(), seed)
 
 
@@ -109,19 +106,19 @@ def _targets(labels: DataFrame, most: int) -> np.ndarray:
 def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
     """Log ratio of each bucket: target model over raw model, add-one smoothed; raw counts come from every document.
 
-    Each task sends at most CHARS + SHAPES rows and the model has as many entries, whatever the input.
+    Each task sends at most 2 * BUCKETS rows and the model has as many entries, whatever the input.
     """
     ensure_importable(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
     counts = rows.mapInArrow(_counted(target), "bucket long, raw long, target long")
-    total = np.zeros((2, CHARS + SHAPES))
+    total = np.zeros((2, 2 * BUCKETS))
     for r in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         total[:, r[0]] = r[1], r[2]
-    out = np.zeros(CHARS + SHAPES)
-    for part in (slice(0, CHARS), slice(CHARS, None)):
+    out = np.zeros(2 * BUCKETS)
+    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
         raw, good = total[0, part] + 1, total[1, part] + 1
         out[part] = np.log(good / good.sum()) - np.log(raw / raw.sum())
-    return out if total[1].any() else np.zeros(CHARS + SHAPES)
+    return out if total[1].any() else np.zeros(2 * BUCKETS)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, at_once: int = 50_000) -> float | None:
@@ -176,25 +173,26 @@ class Sampler:
         return docs.withColumn("__h", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).select(*columns, "__h").mapInArrow(run, docs.schema)
 
 
-def sampler(docs: DataFrame, labels: DataFrame, recall: float = 0.999, margin: float = 10.0, seed: int = 0, max_labelled: int = MAX_LABELLED) -> tuple[Sampler, DataFrame]:
+def sampler(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = 0.999, margin: float = 5.0, seed: int = 0, max_labelled: int = MAX_LABELLED) -> tuple[Sampler, DataFrame]:
     """(fitted sampler, its weights of all documents).
 
-    k, the size of the sample, is the number of documents whose log weight is not `margin` below what all but
-    1 - recall of the labelled target documents reach; `margin` allows for the Gumbel noise. Without labelled target
-    documents every document is in the sample.
+    k is the size of the sample. By default it is the number of documents whose log weight is not `margin` below what
+    all but 1 - recall of the labelled target documents reach; `margin` allows for the Gumbel noise, which takes at
+    most some 3 from a weight. Without labelled target documents and k every document is in the sample.
     """
     ws = Workspace(docs.sparkSession, "dsir")
     target = _targets(labels, max_labelled)
     first = Sampler(fit(docs, target), seed, None)
     weights = ws.save(first.weigh(docs), "weights")
-    if not len(target):
-        return first, weights
-    known = docs.sparkSession.createDataFrame([(int(x),) for x in target], "doc_id long")
-    low = weights.join(F.broadcast(known), "doc_id").agg(F.percentile("log_weight", 1 - recall)).first()[0]
-    if low is None:
-        return first, weights
-    k = weights.filter(F.col("log_weight") >= low - margin).count()
-    first.threshold = kth_largest(weights, "perturbed", k)
+    if k is None:
+        if not len(target):
+            return first, weights
+        known = docs.sparkSession.createDataFrame([(int(x),) for x in target], "doc_id long")
+        low = weights.join(F.broadcast(known), "doc_id").agg(F.percentile("log_weight", 1 - recall)).first()[0]
+        if low is None:
+            return first, weights
+        k = weights.filter(F.col("log_weight") >= low - margin).count()
+    first.threshold = kth_largest(weights, "perturbed", k) if k > 0 else float("inf")
     return first, weights
 
 
@@ -211,7 +209,8 @@ def weights(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents in the sample, all columns."""
+    """The documents in the sample, all columns, whatever their names. Null and empty texts weigh 0 and are judged by
+    that and their noise; repeated rows fare alike, ties at the threshold all stay, an empty table stays empty."""
     return sampler(docs, labels, **how)[0].select(docs)
 
 

@@ -449,6 +449,62 @@ def test_classifier_rejects_junk_and_keeps_clean(spark):
     assert dsir.weights(docs, lab.filter("false")).filter("not kept").count() == 0
 
 
+def brute_weights(rows, target, seed=0):
+    """Log weights and perturbed ones by dictionaries of buckets, for texts in ASCII."""
+    counts = {part: {k: collections.Counter() for k in (1, 2)} for part in ("raw", "target")}
+    of = {}
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        one, two, inner, edges = dsir.features([raw])
+        words = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+", raw)
+        assert len(words) == edges[1]
+        of[i, t] = [(1, int(b)) for b in one] + [(2, int(b)) for b, x in zip(two, inner) if x]
+        for part in ["raw"] + ["target"] * (i in target):
+            for k, b in of[i, t]:
+                counts[part][k][b] += 1
+    share = lambda part, k, b: (counts[part][k][b] + 1) / (sum(counts[part][k].values()) + dsir.BUCKETS)
+    out = []
+    for i, t, *_ in rows:
+        n = sum(k == 1 for k, _ in of[i, t])
+        out.append(sum(np.log(share("target", k, b)) - np.log(share("raw", k, b)) for k, b in of[i, t]) / max(n, 1) ** 0.5)
+    return out
+
+
+def test_sample_is_the_top_k_of_brute_force(spark):
+    rows, labels = corpus(150)
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (1002, rows[0][1]), (1003, "the " * 4000 + "river")]
+    target = {i for i, q, *_ in labels if q and i < 100}
+    lab = spark.createDataFrame([(i, 1, 0) for i in target], "doc_id long, quality int, toxic int")
+    docs = make(spark, rows)
+    out = dsir.weights(docs, lab, k=60).collect()
+    want = dict(zip([r[0] for r in rows], brute_weights(rows, target)))
+    assert all(r.log_weight == pytest.approx(want[r.doc_id], abs=1e-6) for r in out)
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id", "text")).collect()}
+    noise = dict(zip(hashes, dsir._gumbel(np.array(list(hashes.values())), 0)))
+    assert all(r.perturbed == pytest.approx(want[r.doc_id] + noise[r.doc_id], abs=1e-6) for r in out)
+    least = sorted((r.perturbed for r in out), reverse=True)[59]
+    assert {r.doc_id for r in out if r.kept} == {r.doc_id for r in out if r.perturbed >= least}
+    without = {r.doc_id for r in sorted(out, key=lambda r: -r.log_weight)[:60]}
+    assert {r.doc_id for r in out if r.kept} != without  # the noise decides
+    other = {r.doc_id for r in dsir.weights(docs, lab, k=60, seed=1).filter("kept").collect()}
+    assert other != {r.doc_id for r in out if r.kept} and dsir.sample(docs, lab, k=60).count() == sum(r.kept for r in out)
+    assert abs(np.mean(list(noise.values())) - 0.577) < 0.4 and dsir.weights(docs, lab, k=0).filter("kept").count() == 0
+
+
+def test_repeats_have_ngrams_of_their_own():
+    a, b = (dsir.features([x])[0] for x in (b"shti shti, shti", b"orre orre! orre orre"))
+    assert len({*a[[1, 3]].tolist(), *b[[1, 3, 4]].tolist()}) == 1 and dsir.features([b"same", b"same"])[0][0] == dsir.features([b"same", b"same"])[0][1]
+    assert [len(x) for x in dsir.features([b"", b" \n"])[:3]] == [0, 0, 0]
+
+
+def test_held_out_labels_are_told_apart(spark):
+    rows, labels = corpus(500)
+    train = [x for x in labels if x[0] % 2]
+    out = {r.doc_id: r.log_weight for r in dsir.weights(make(spark, rows), spark.createDataFrame(train, "doc_id long, quality int, toxic int, text string")).collect()}
+    good, bad = ([out[i] for i, q, *_ in labels if not i % 2 and q == k] for k in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.99
+
+
 def test_kth_largest(spark):
     values = [float(v) for v in np.random.default_rng(2).integers(0, 50, 3000)] + [1e9]
     df = spark.createDataFrame([(v,) for v in values], "x double")
