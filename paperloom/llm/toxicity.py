@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from paperloom import ensure_importable
 
-from ._util import documents
+from ._util import Workspace, documents
+from .hashing import Substrings, mix
 
 QUERY = "op8_toxicity"
+_U = np.uint64
 #: Labelled documents that seeds and the calibration are fitted on, at most.
 MAX_LABELLED = 40_000
-#: Words of the graph: those that lean towards a label most, and the most frequent ones.
-LEANING, FREQUENT = 1024, 512
+#: Toxic seeds, four for each clean one; words to either side of a word that are its neighbours.
+SEEDS, WINDOW = 100, 40
+#: The least share of a word's weight that an edge has, and of a walk's visits that a word has whose own neighbours
+#: are counted: at most 10,000 edges of a word and 500 words of a walk, whatever the input.
+LEAST_EDGE, LEAST_VISIT = 1e-4, 0.002
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -78,10 +83,8 @@ def _settings(train: DataFrame, candidates: list[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in rows.groupBy("word").count().collect()}
 
 
-def _ids(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(graph word of each word known to the graph, its text, words of each text)."""
-    from .hashing import Substrings, mix
-
+def _split(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """(hash of each word, offsets by text, words of each text, the text they stand in, starts and ends there)."""
     lowered = [(t or "").lower().encode() for t in texts]
     raw = b" ".join(lowered) + b" "
     buf = np.frombuffer(raw, np.uint8)
@@ -89,28 +92,26 @@ def _ids(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     letter[1:-1] = (buf >= 128) | ((buf >= 97) & (buf <= 122))
     change = np.flatnonzero(letter[1:] != letter[:-1])
     s, e = change[::2], change[1::2]
-    h = mix(Substrings(buf).hash(s, e) + (e - s).astype(np.uint64))
+    h = mix(Substrings(buf).hash(s, e) + (e - s).astype(_U))
     edges = np.searchsorted(s, np.cumsum([0] + [len(t) + 1 for t in lowered]))
-    owner = np.repeat(np.arange(len(texts)), np.diff(edges))
+    return h, edges, np.diff(edges), raw, np.stack([s, e])
+
+
+def _found(h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the hashes that are among the sorted keys, which key each is)."""
     if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.diff(edges)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    hit = keys[at] == h
-    return at[hit], owner[hit], np.diff(edges)
+    hit = np.flatnonzero(keys[at] == h)
+    return hit, at[hit]
 
 
 def word_keys(vocabulary: list[str]) -> np.ndarray:
-    """The hashes that _ids() looks up, in the order of the vocabulary."""
-    from .hashing import Substrings, mix
+    """The hashes of words, in the order of the vocabulary."""
+    return np.array([_split([w])[0][0] for w in vocabulary], _U)
 
-    out = []
-    for w in vocabulary:
-        buf = np.frombuffer(w.encode(), np.uint8)
-        out.append(mix(Substrings(buf).hash(np.array([0]), np.array([len(buf)])) + np.uint64(len(buf)))[0])
-    return np.array(out, np.uint64)
 
-
-def _slices(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     i = total = 0
     for j, t in enumerate(texts):
         if j > i and total + len(t or "") > most:
@@ -121,63 +122,133 @@ def _slices(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int,
         yield i, len(texts)
 
 
-def cooccurrence(docs: DataFrame, keys: np.ndarray, window: int = 5) -> np.ndarray:
-    """How often each two graph words stand within `window` graph words of each other, over all documents."""
-    n = len(keys)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, word, n: how often each word stands in all documents; counted in each slice before it moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, j in _slices(texts):
+                h, _, _, raw, at = _split(texts[i:j])
+                kinds, first, n = np.unique(h, return_index=True, return_counts=True)
+                words = [raw[a:b] for a, b in at[:, first].T.tolist()]
+                yield pa.record_batch([pa.array(kinds.astype(np.int64)), pa.array(words, pa.binary()), pa.array(n)], ["h", "word", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+
+
+def neighbours(docs: DataFrame, keys: np.ndarray, window: int = WINDOW) -> DataFrame:
+    """u (place in keys), w (hash of a word), n: in how many different settings of u a word stands at most `window`
+    words away from it, over all documents. A setting is the word before and the word after u: copies of a text repeat
+    it, so being copied makes no two words related."""
     order = np.argsort(keys)
-    sorted_keys = docs.sparkSession.sparkContext.broadcast(keys[order])
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], order))
+
+    def near(h: np.ndarray, edges: np.ndarray, place: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        text = np.searchsorted(edges, place, "right") - 1
+        low, high = np.maximum(edges[text], place - window), np.minimum(edges[text + 1], place + window + 1)
+        before = np.where(place > edges[text], h[place - 1], _U(0))
+        after = np.where(place + 1 < edges[text + 1], h[np.minimum(place + 1, len(h) - 1)], _U(0))
+        count = high - low
+        row = np.repeat(np.arange(len(place)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        row, at = row[at != place[row]], at[at != place[row]]
+        u, w, s = which[row], h[at], mix(before * _U(0x9E3779B97F4A7C15) + after)[row]
+        first = np.unique(mix(w + mix(s + u.astype(_U))), return_index=True)[1]
+        return u[first], w[first], s[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int64)
+        known, order = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in _slices(texts):
-                at, owner, _ = _ids(texts[i:j], sorted_keys.value)
-                for step in range(1, window + 1):
-                    near = owner[step:] == owner[:-step]
-                    total += np.bincount(at[:-step][near] * n + at[step:][near], minlength=n * n)
-        k = np.flatnonzero(total)
-        for part in range(0, len(k), 100_000):
-            x = k[part : part + 100_000]
-            yield pa.record_batch([pa.array(x), pa.array(total[x])], ["cell", "n"])
-
-    cells = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros((n, n))
-    # n * n cells at most, 19 MB
-    for batch in cells.toArrow().to_batches():
-        cell = batch.column("cell").to_numpy()
-        out[order[cell // n], order[cell % n]] = batch.column("n").to_numpy()
-    return out + out.T
-
-
-def positive_pmi(pairs: np.ndarray) -> np.ndarray:
-    total, each = pairs.sum(), pairs.sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.log(pairs * total / (each[:, None] * each[None, :]))
-    return np.where(pairs > 0, np.maximum(pmi, 0), 0)
-
-
-def walk(graph: np.ndarray, seeds: np.ndarray, restart: float = 0.4, steps: int = 100) -> np.ndarray:
-    """Where a random walk over the graph is found that returns to a seed with probability `restart` at each step."""
+                h, edges, *_ = _split(texts[i:j])
+                place, at = _found(h, known)
+                for k in range(0, len(place), 20_000):
+                    u, w, s = near(h, edges, place[k : k + 20_000], order[at[k : k + 20_000]])
+                    yield pa.record_batch([pa.array(u.astype(np.int32)), pa.array(w.astype(np.int64)), pa.array(s.astype(np.int64))], ["u", "w", "s"])
+
+    rows = docs.select("text").mapInArrow(run, "u int, w long, s long").distinct()
+    return rows.groupBy("u", "w").agg(F.count("*").alias("n"))
+
+
+def positive_pmi(near: DataFrame, counts: DataFrame, total: int, shift: float = 4.0, deviations: float = 2.0) -> list[tuple[int, int, str, float]]:
+    """(u, hash and spelling of w, weight) of the edges of the graph: log of how much oftener than by chance a word is
+    near u, less log(shift), where that is positive. Of counts, what `deviations` of their own chance leave is taken,
+    so a few encounters of rare words are no edge."""
+    all_ = near.groupBy("u").agg(F.sum("n").alias("around"))
+    sure = F.col("n") - F.lit(deviations) * F.sqrt("n")
+    rows = near.filter(sure > 0).join(counts.select(F.col("h").alias("w"), "word", F.col("n").alias("seen")), "w").join(F.broadcast(all_), "u")
+    rows = rows.withColumn("weight", F.log(sure * F.lit(float(total)) / (F.col("around") * F.col("seen") * F.lit(shift)))).filter("weight > 0")
+    sums = rows.groupBy("u").agg(F.sum("weight").alias("sum"))
+    rows = rows.join(F.broadcast(sums), "u").filter(F.col("weight") >= LEAST_EDGE * F.col("sum"))
+    return [(r["u"], r["w"], bytes(r["word"]).decode(errors="replace"), r["weight"]) for r in rows.select("u", "w", "word", "weight").collect()]
+
+
+def walk(graph: np.ndarray, seeds: np.ndarray, rows: np.ndarray, restart: float = 0.4, evidence: float = 3.0, steps: int = 100) -> np.ndarray:
+    """How often a random walk is at each word that returns to a seed with probability `restart` at each step.
+
+    graph holds the edges of the words `rows`; all other words lead back to the seeds, and so does, as far as its
+    edges weigh less than `evidence` together, a word that has few or faint ones.
+    """
     p0 = seeds / max(seeds.sum(), 1e-12)
-    degree = graph.sum(1)
-    move = graph / np.where(degree > 0, degree, 1)[:, None]
+    move = (1 - restart) * graph / np.maximum(graph.sum(1), evidence)[:, None]
     p = p0
     for _ in range(steps):
-        new = restart * p0 + (1 - restart) * (p @ move + p[degree == 0].sum() * p0)
+        come = p[rows] @ move
+        new = come + (1 - come.sum()) * p0
         if np.abs(new - p).sum() < 1e-9:
             break
         p = new
-    return p
+    return new
+
+
+class WordGraph:
+    """The part of the graph of all words that the walks come to. Rows of words are counted over all documents when a
+    walk has brought enough to them, so no vocabulary is fixed in advance."""
+
+    def __init__(self, docs: DataFrame, window: int):
+        self.docs, self.window = docs, window
+        counts = Workspace(docs.sparkSession, "toxic").save(word_counts(docs), "words")
+        self.total = counts.agg(F.sum("n")).first()[0] or 1
+        self.counts = counts
+        self.words: dict[int, str] = {}  # hash -> spelling, in the order of the walk's vectors
+        self.place: dict[int, int] = {}
+        self.edges: dict[int, list[tuple[int, float]]] = {}
+
+    def _at(self, h: int, word: str) -> int:
+        self.words.setdefault(h, word)
+        return self.place.setdefault(h, len(self.place))
+
+    def expand(self, words: list[str]) -> None:
+        """Counts the neighbours of words."""
+        keys = word_keys(words)
+        places = [self._at(int(k.astype(np.int64)), w) for k, w in zip(keys, words)]
+        for p in places:
+            self.edges.setdefault(p, [])
+        for u, w, word, weight in sorted(positive_pmi(neighbours(self.docs, keys, self.window), self.counts, self.total)):
+            self.edges[places[u]].append((self._at(w, word), weight))
+
+    def walk(self, seeds: dict[str, float]) -> np.ndarray:
+        """walk() from seeds, in the order of self.words."""
+        n, rows = len(self.place), sorted(self.edges)
+        p0 = np.zeros(n)
+        for w, weight in seeds.items():
+            p0[self.place[int(word_keys([w])[0].astype(np.int64))]] = weight
+        graph = np.zeros((len(rows), n))
+        for k, r in enumerate(rows):
+            for to, weight in self.edges[r]:
+                graph[k, to] += weight
+        return walk(graph, p0, np.array(rows, np.int64))
 
 
 class Lexicon:
     """Words with polarity weights, and the calibration of what they add up to in a text."""
 
     def __init__(self, vocabulary: list[str], polarity: np.ndarray, coefficients: np.ndarray | None = None):
-        order = np.argsort(keys := word_keys(vocabulary)) if vocabulary else np.zeros(0, np.int64)
+        order = np.argsort(keys := word_keys(vocabulary))
         self.words = [vocabulary[k] for k in order]
-        self.keys, self.polarity = (keys[order] if vocabulary else np.zeros(0, np.uint64)), polarity[order]
+        self.keys, self.polarity = keys[order], polarity[order]
         self.coefficients = coefficients
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -185,7 +256,9 @@ class Lexicon:
         out = np.zeros((len(texts), 3))
         out[:, 2] = 1
         for i, j in _slices(texts):
-            at, owner, n = _ids(texts[i:j], self.keys)
+            h, edges, n, *_ = _split(texts[i:j])
+            place, at = _found(h, self.keys)
+            owner = np.searchsorted(edges, place, "right") - 1
             toxic = np.bincount(owner, np.maximum(self.polarity[at], 0), j - i) if len(at) else np.zeros(j - i)
             out[i:j, 0], out[i:j, 1] = np.log1p(toxic), 10 * toxic / np.maximum(n, 1)
         return out
@@ -206,42 +279,71 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def induce(docs: DataFrame, labels: DataFrame, divisor: int = 3, rest: int = 1, max_labelled: int = MAX_LABELLED, leaning: int = LEANING, frequent: int = FREQUENT) -> Lexicon:
-    """Seeds come from labelled documents, the graph from all of them.
+def seed_words(train: DataFrame, seeds: int = SEEDS) -> tuple[dict[str, float], dict[str, float], int, int]:
+    """(toxic seeds, clean seeds, toxic documents, clean documents) of labelled documents; seeds with their weights.
 
-    A word leans by how much likelier a toxic document is to hold it (log odds over their standard error, counting
-    different settings in place of copies). Words far to one side are seeds, with that as weight. Two walks, from toxic and from clean seeds, over the graph of positive
-    pointwise mutual information say for each word which side it is near: polarity (t - c) / (t + c), each walk taken
-    relative to chance. Only words that the toxic walk favours clearly, and the labelled documents eight to one, count in a text.
-    Without labels of both kinds nothing is learned and every score is the share of toxic labels, or 0.
+    Toxic seeds lean most to toxic documents: log odds over their standard error, counting different settings in place
+    of copies. Clean seeds are words that don't lean to them, of about the toxic seeds' frequency.
     """
-    ensure_importable(docs.sparkSession)
-    train = _training(docs, labels, divisor, rest, max_labelled)
     found, bad, good = _leanings(train)
     if not bad or not good:
-        return Lexicon([], np.zeros(0), np.array([0.0, 0.0, 30.0 if bad else -30.0]))
-    seen = np.array([b + g for _, b, g in found])
-    # of toxic to clean documents with the word
+        return {}, {}, bad, good
     rate = np.array([(b + 0.1) / (bad + 1) / ((g + 0.1) / (good + 1)) for _, b, g in found])
     # few words are twice as frequent in toxic documents or more; the sample bounds their number
     settings = _settings(train, [w for (w, _, _), r in zip(found, rate) if r > 2])
-    b = np.array([min(x[1], settings.get(x[0], 0)) for x in found])
+    b = np.array([min(x[1], settings.get(x[0], 0)) if r > 2 else x[1] for x, r in zip(found, rate)])
     g = np.array([x[2] for x in found])
-    few = (b + 0.1) / (bad + 1) / ((g + 0.1) / (good + 1))
-    rate = np.minimum(rate, few)
+    rate = np.minimum(rate, (b + 0.1) / (bad + 1) / ((g + 0.1) / (good + 1)))
     z = (np.log((b + 0.5) / (bad - b + 0.5)) - np.log((g + 0.5) / (good - g + 0.5))) / np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
-    toxic = np.argsort(-np.where(rate > 2, z, -np.inf), kind="stable")[:leaning]
-    common = np.argsort(-seen, kind="stable")[:frequent]
-    chosen = np.unique(np.concatenate([toxic, common])).astype(int)
-    vocabulary, z, rate, b = [found[k][0] for k in chosen], z[chosen], rate[chosen], b[chosen]
-    graph = positive_pmi(cooccurrence(docs, word_keys(vocabulary)))
-    t = walk(graph, np.where((rate > 10) & (z > 3) & (b >= 4), z, 0.0))
-    c = walk(graph, np.where((rate < 1.5) & (seen[chosen] >= 10), 1.0, 0.0) * np.log1p(seen[chosen]))
-    t, c = t / max(t.mean(), 1e-12), c / max(c.mean(), 1e-12)
-    polarity = (t - c) / np.maximum(t + c, 1e-12)
-    polarity = np.where((polarity > 0.25) & (rate > 8) & (b >= 3) & (z > 2), polarity, np.minimum(polarity, 0))
-    lexicon = Lexicon(vocabulary, polarity)
-    known = docs.sparkSession.sparkContext.broadcast(lexicon)
+    toxic = [k for k in np.argsort(-z, kind="stable") if rate[k] > 8 and b[k] >= 3 and z[k] > 3.5][:seeds]
+    if not toxic:
+        return {}, {}, bad, good
+    far = np.abs(np.log((g + 0.5) / (np.median(b[toxic]) * good / bad + 0.5)))
+    clean = [k for k in np.argsort(far, kind="stable") if rate[k] < 1.5][: max(seeds // 4, 1)]
+    return {found[k][0]: float(z[k]) for k in toxic}, {found[k][0]: 1.0 for k in clean}, bad, good
+
+
+def induce(docs: DataFrame, labels: DataFrame, divisor: int = 3, rest: int = 1, max_labelled: int = MAX_LABELLED, seeds: int = SEEDS, window: int = WINDOW, least: float = 0.5) -> Lexicon:
+    """A lexicon of the words of all documents, from seeds of labelled ones.
+
+    Two random walks, from the toxic and from the clean seeds, over the graph of positive pointwise mutual information
+    of words say how near a word is to either side: t and c, visits in units of what the middle seed of that side gets.
+    Polarity is (t - c) / (t + c + 1/4): a seed near other toxic words gets more than one that stands alone, and a word
+    that no labelled document holds gets as much as the walk brings there. Words below `least` don't count.
+    Labels serve for seeds and for the calibration (logistic regression on two sums over a text's words).
+    Without labels of both kinds, or a word that leans to toxic documents, nothing is learned and every score is the
+    share of toxic labels. Repeated rows count as often as they are there, but not their settings; null and empty
+    texts hold no words; an empty table gives an empty lexicon; other columns play no part.
+    """
+    ensure_importable(docs.sparkSession)
+    train = _training(docs, labels, divisor, rest, max_labelled)
+    toxic, clean, bad, good = seed_words(train, seeds)
+    if not toxic:
+        return Lexicon([], np.zeros(0), np.array([0.0, 0.0, 30.0 if bad and not good else -30.0 if not bad else float(np.log(bad / good))]))
+    graph = WordGraph(docs, window)
+    graph.expand([*toxic, *(w for w in clean if w not in toxic)])
+    near = set()
+    for side in (toxic, clean):
+        names, found = list(graph.words.values()), graph.walk(side)
+        near |= {names[k] for k in np.flatnonzero(found > LEAST_VISIT) if k not in graph.edges}
+    if near:
+        graph.expand(sorted(near))
+    t, c = (_scaled(graph, side) for side in (toxic, clean))
+    polarity = (t - c) / (t + c + 0.25)
+    chosen = np.flatnonzero(np.abs(polarity) >= least)
+    names = list(graph.words.values())
+    lexicon = Lexicon([names[k] for k in chosen], polarity[chosen])
+    return _calibrated(lexicon, train)
+
+
+def _scaled(graph: WordGraph, seeds: dict[str, float]) -> np.ndarray:
+    """Visits in units of what the middle one of the seeds gets."""
+    at = graph.walk(seeds)
+    return at / max(float(np.median([at[graph.place[int(k.astype(np.int64))]] for k in word_keys(list(seeds))])), 1e-12)
+
+
+def _calibrated(lexicon: Lexicon, train: DataFrame) -> Lexicon:
+    known = train.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -429,11 +429,67 @@ def test_toxic_words_are_induced(spark):
     assert toxicity.score(docs, none).filter("predicted = 1").count() == 0
 
 
-def test_cooccurrence_counts(spark):
-    vocabulary = ["aa", "bb", "cc"]
-    docs = make(spark, [(1, "aa bb x aa"), (2, "CC, bb"), (3, None)])
-    got = toxicity.cooccurrence(docs, toxicity.word_keys(vocabulary), 1)
-    assert got.tolist() == [[0, 2, 0], [2, 0, 1], [0, 1, 0]]
+def lexicon_corpus():
+    """English-like texts; toxic ones hold words of bad, of which "blarg" is in no labelled document."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    bad = ["zonk", "vrill", "mokka", "tork", "blarg"]
+    rows, labels = [], []
+    for i in range(2000):
+        w = [rng.choice(plain) for _ in range(rng.randint(20, 80))]
+        known = i % 3 == 0
+        if toxic := i % 10 == 0:
+            for x in rng.sample(bad[:4] if known else bad, 3):
+                w.insert(rng.randrange(len(w)), x)
+        rows.append((i, " ".join(w), "en", "s"))
+        if known:
+            labels.append((i, 1, int(toxic), "extra"))
+    return rows, labels
+
+
+def test_walk_finds_words_no_labelled_document_holds(spark):
+    rows, labels = lexicon_corpus()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    docs = make(spark, rows)
+    lexicon = toxicity.induce(docs, lab)
+    polarity = dict(zip(lexicon.words, lexicon.polarity))
+    assert all(polarity[w] >= 0.5 for w in ("zonk", "vrill", "mokka", "tork", "blarg")) and sum(v > 0 for v in polarity.values()) == 5
+    assert lexicon.score(["abc blarg def"])[0] > 0.7 > lexicon.score(["abc hgf def"])[0]
+    seen = {w for i, t, *_ in rows if i % 3 == 0 for w in t.split()}
+    assert "blarg" not in seen
+    out = {r.doc_id: r.predicted for r in toxicity.score(docs, lexicon).collect()}
+    assert [out[i] for i in range(2000)] == [int(i % 10 == 0) for i in range(2000)]
+
+
+def test_neighbours_count_settings(spark):
+    docs = make(spark, [(1, "aa bb x aa"), (2, "CC, bb"), (3, None), (4, "aa bb x aa"), (5, "x aa bb cc")])
+    keys = toxicity.word_keys(["aa", "bb"])
+    spelled = {int(k.astype(np.int64)): w for w in ("aa", "bb", "cc", "x") for k in toxicity.word_keys([w])}
+    got = {(r.u, spelled[r.w]): r.n for r in toxicity.neighbours(docs, keys, 1).collect()}
+    # settings of aa: (-, bb), (x, -), (x, bb); of bb: (aa, x), (cc, -), (aa, cc)
+    assert got == {(0, "bb"): 2, (0, "x"): 2, (1, "aa"): 2, (1, "x"): 1, (1, "cc"): 2}
+    counts = {bytes(r.word): r.n for r in toxicity.word_counts(docs).collect()}
+    assert counts == {b"aa": 5, b"bb": 4, b"x": 3, b"cc": 2}
+
+
+def test_walk_is_that_of_brute_force():
+    graph, seeds = np.array([[0, 4.0, 2.0, 0], [1.0, 0, 0, 0.5]]), np.array([1.0, 0, 0, 0])
+    got = toxicity.walk(graph, seeds, np.array([0, 1]))
+    full = np.zeros((4, 4))
+    full[:2] = 0.6 * graph / np.maximum(graph.sum(1), 3)[:, None]
+    full[:, 0] += 1 - full.sum(1)
+    p = np.full(4, 0.25)
+    for _ in range(500):
+        p = p @ full
+    assert got == pytest.approx(p, abs=1e-6) and got[1] > got[2] > got[3] > 0
+
+
+def test_toxicity_of_awkward_tables(spark):
+    rows, labels = lexicon_corpus()
+    lab = spark.createDataFrame(labels + labels[:50] + [(None, 1, 1, "x"), (3, None, None, "y")], "doc_id long, quality int, toxic int, text string")
+    extra = [(9000, "abc " * 40_000 + "zonk vrill"), (9001, "zonk " * 20_000), *rows[:30], (9002, None)]
+    out = {r.doc_id: r for r in toxicity.score(make(spark, extra), toxicity.induce(make(spark, rows + extra), lab)).collect()}
+    assert out[9001].predicted == 1 and out[9002].predicted == 0 and out[9000].score > out[9002].score
 
 
 def test_classifier_rejects_junk_and_keeps_clean(spark):
