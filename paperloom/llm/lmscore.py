@@ -15,11 +15,13 @@ from paperloom import ensure_importable
 
 from ._util import Workspace, documents, raw_texts, slices
 from .dsir import kth_largest
-from .hashing import many_word_hashes, word_bounds
+from .hashing import SLICE, Substrings, mix, word_bounds
 
 QUERY = "op10_compression_lm"
 #: In-domain ids that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Bytes of a word; longer runs without a blank (scripts that write without) count as several.
+LONGEST = 64
 
 
 def _marked(docs: DataFrame, domain: DataFrame | np.ndarray) -> DataFrame:
@@ -36,6 +38,28 @@ def _marked(docs: DataFrame, domain: DataFrame | np.ndarray) -> DataFrame:
     return known.select(inside, "text").unionByName(rows.filter("doc_id is null").select(F.lit(False).alias("inside"), "text"))
 
 
+def _pieces(raw: bytes, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs without a blank, those of more than LONGEST bytes cut into pieces: where the hash of the six bytes before is a
+    multiple of 16, hence at the same places of equal passages, and after LONGEST bytes at the latest."""
+    long = np.flatnonzero(e - s > LONGEST)
+    if not len(long):
+        return s, e
+    buf = np.frombuffer(raw, np.uint8)
+    starts, ends = [np.delete(s, long)], [np.delete(e, long)]
+    for a, b in zip(s[long].tolist(), e[long].tolist()):
+        cut = a + 6 + np.flatnonzero(mix(Substrings(buf[a:b]).windows(6))[:-1] % np.uint64(16) == 0)
+        at = [a]
+        for x in [*cut.tolist(), b]:
+            while x - at[-1] > LONGEST:
+                at.append(at[-1] + LONGEST)
+            if x > at[-1]:
+                at.append(x)
+        starts.append(np.array(at[:-1])), ends.append(np.array(at[1:]))
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order]
+
+
 def _counted():
     """Words of all texts, counted in each slice before they move: word, in all, in the domain's texts."""
 
@@ -46,20 +70,33 @@ def _counted():
             for i, j in slices(texts):
                 part = texts[i:j]
                 raw = b" ".join(part)
-                h, _ = many_word_hashes(part)
-                s, e = word_bounds(np.frombuffer(raw, np.uint8))
-                if len(s) != len(h):  # one long text, hashed in slices of its own
-                    s, e = s[: len(h)], e[: len(h)]
-                owner = np.repeat(inside[i:j], [len(t) + 1 for t in part])[np.minimum(s, len(raw) - 1)] if len(s) else np.zeros(0, bool)
-                kinds, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                own = np.bincount(back, owner, len(kinds)).astype(np.int64)
-                keep = (e - s)[first] <= 64
-                words = [raw[a:b] for a, b in zip(s[first][keep].tolist(), e[first][keep].tolist())]
-                yield pa.record_batch([pa.array(words, pa.binary()), pa.array(n[keep]), pa.array(own[keep])], ["word", "n", "own"])
+                for at, end in _windows(raw):
+                    some = raw[at:end]
+                    buf = np.frombuffer(some, np.uint8)
+                    s, e = _pieces(some, *word_bounds(buf))
+                    h = mix(Substrings(buf).hash(s, e) + (e - s).astype(np.uint64)) if len(s) else np.zeros(0, np.uint64)
+                    ends = np.cumsum([len(t) + 1 for t in part])
+                    owner = inside[i:j][np.searchsorted(ends, s + at, "right")]
+                    kinds, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    own = np.bincount(back, owner, len(kinds)).astype(np.int64)
+                    words = [some[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
+                    yield pa.record_batch([pa.array(words, pa.binary()), pa.array(n), pa.array(own)], ["word", "n", "own"])
 
     return run
 
 
+def _windows(raw: bytes, most: int = 2 * SLICE) -> Iterator[tuple[int, int]]:
+    """Parts of a long text, cut after a blank where there is one."""
+    at = 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > most:
+            cut = max(raw.rfind(b, at, at + most) for b in (b" ", b"\n", b"\t"))
+            end = cut + 1 if cut > at else at + most
+        yield at, end
+        at = end
+
+
 def _room(counts: DataFrame) -> int:
     """Bytes of a dictionary: 8 times the root of the bytes of all counted words, 65,536 at least, without an upper limit."""
     total = counts.agg(F.sum(F.col("n") * (F.length("word") + 1))).first()[0]
@@ -69,8 +106,8 @@ def _room(counts: DataFrame) -> int:
 def dictionaries(docs: DataFrame, domain: DataFrame | np.ndarray, size: int | None = None) -> tuple[bytes, bytes]:
     """(in-domain, general) dictionary contents of at most `size` bytes each; by default that grows with the corpus.
 
-    Words of at most 64 bytes (longer runs without a blank are dropped) are counted over all documents, and over those of the domain (doc_ids); those that save most, by count and
-    length, are laid out with the best last, where references to them are shortest. Only the words that can get in (at
+    Words (pieces of at most LONGEST bytes where blanks are rarer) are counted over all documents, and over those of the
+    domain (doc_ids); those that save most, by count and length, are laid out with the best last, where references to them are shortest. Only the words that can get in (at
     most size / 4 of each ranking) come to the driver: the least gain among them is found first.
     """
     ensure_importable(docs.sparkSession)

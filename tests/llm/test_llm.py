@@ -590,6 +590,53 @@ def test_whole_domain_is_counted(spark, monkeypatch, broadcast):
     assert all(b"own%03d" % k in own for k in range(40)) and b"other" not in own and b"other" in general
 
 
+def test_texts_without_blanks_are_counted(spark):
+    passage = "".join(random.Random(2).choice("日本語文章重複同一部分検索学習") for _ in range(60))
+    rows = [(k, "".join(chr(0x4E00 + random.Random(k).randrange(3000)) for _ in range(k % 7 + 40)) + passage) for k in range(40)]
+    own, _ = lmscore.dictionaries(make(spark, rows), np.arange(40))
+    inside = [x for x in own.split(b" ") if len(x) > 8 and x in passage.encode()]
+    assert sum(map(len, inside)) > 60
+    for raw in (b"a" * 1000 + b" b", passage.encode() * 3, b"x y", b"", b"\xff" * 65):
+        bounds = lmscore.word_bounds(np.frombuffer(raw, np.uint8))
+        s, e = lmscore._pieces(raw, *bounds)
+        assert b"".join(raw[a:b] for a, b in zip(s, e)) == b"".join(raw.split()) and (len(s) == 0 or (e - s).max() <= 64)
+    assert [list(lmscore._windows(b"ab cd ef", 4))] == [[(0, 3), (3, 6), (6, 8)]] and list(lmscore._windows(b"abcdef", 4)) == [(0, 4), (4, 6)]
+
+
+def brute_words(rows, domain):
+    n, own = collections.Counter(), collections.Counter()
+    for i, t, *_ in rows:
+        n.update((t or "").encode().split())
+        own.update((t or "").encode().split() if i in domain else ())
+    return n, own
+
+
+def test_dictionaries_and_sizes_are_those_of_brute_force(spark):
+    rows, _ = corpus(80)
+    rows += [(500, None), (501, ""), (502, rows[3][1]), (502, rows[3][1]), (503, "tie tie eit eit " + "maison " * 3000)]
+    domain = {i for i, _, lang, *_ in rows[:80] if lang == "fr"} | {502}
+    want = []
+    for counts, all_ in [(c, brute_words(rows, domain)[0]) for c in brute_words(rows, domain)[::-1]]:
+        ranked = sorted((w for w, n in counts.items() if n > 1 and all_[w] > 1), key=lambda w: (-counts[w] * (len(w) + 1), w))
+        content, room = [], 300
+        for w in ranked[:75]:
+            if len(w) + 1 > room:
+                break
+            content.append(w + b" ")
+            room -= len(w) + 1
+        want.append(b"".join(reversed(content)))
+    got = lmscore.dictionaries(make(spark, rows), np.array(sorted(domain)), 300)
+    assert list(got) == want
+    out = lmscore.scores(make(spark, rows), np.array(sorted(domain)), 300).collect()
+    pack = [lmscore.zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=lmscore.zstandard.ZstdCompressionDict(x, dict_type=lmscore.zstandard.DICT_TYPE_RAWCONTENT)) for x in want]
+    text_of = {i: t for i, t, *_ in rows}
+    for r in out:
+        raw = (text_of[r.doc_id] or "").encode()
+        a, b = (len(p.compress(raw)) if raw else 0 for p in pack)
+        assert abs(r.domain_bytes - a) <= 2 and abs(r.general_bytes - b) <= 2 and r.score == (r.general_bytes - r.domain_bytes) / max(r.domain_bytes, r.general_bytes, 1)
+    assert len(out) == len(rows)
+
+
 def test_dictionary_grows_with_the_corpus(spark):
     sized = lambda n: spark.createDataFrame([(b"x" * 49, n)], "word binary, n long")
     assert [lmscore._room(sized(n)) for n in (1, 2 * 10**6, 6 * 10**8)] == [65_536, 80_000, 1_385_640]
