@@ -20,10 +20,10 @@ _U = np.uint64
 #: Labelled documents that seeds and the calibration are fitted on, at most.
 MAX_LABELLED = 40_000
 #: Toxic seeds, four for each clean one; words to either side of a word that are its neighbours.
-SEEDS, WINDOW = 100, 40
+SEEDS, WINDOW = 100, 30
 #: The least share of a word's weight that an edge has, and of a walk's visits that a word has whose own neighbours
-#: are counted: at most 10,000 edges of a word and 500 words of a walk, whatever the input.
-LEAST_EDGE, LEAST_VISIT = 1e-4, 0.002
+#: are counted: at most 10,000 edges of a word and 200 words of a walk, whatever the input.
+LEAST_EDGE, LEAST_VISIT = 1e-4, 0.005
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -140,22 +140,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def neighbours(docs: DataFrame, keys: np.ndarray, window: int = WINDOW) -> DataFrame:
     """u (place in keys), w (hash of a word), n: in how many different settings of u a word stands at most `window`
     words away from it, over all documents. A setting is the word before and the word after u: copies of a text repeat
-    it, so being copied makes no two words related."""
+    it, so being copied makes no two words related; of occurrences in one setting one counts, that with the least
+    hash. Each occurrence moves as one row, and pairs of words are counted where they are before they move."""
     order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], order))
 
-    def near(h: np.ndarray, edges: np.ndarray, place: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, ...]:
+    def near(h: np.ndarray, edges: np.ndarray, place: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
         text = np.searchsorted(edges, place, "right") - 1
         low, high = np.maximum(edges[text], place - window), np.minimum(edges[text + 1], place + window + 1)
         before = np.where(place > edges[text], h[place - 1], _U(0))
         after = np.where(place + 1 < edges[text + 1], h[np.minimum(place + 1, len(h) - 1)], _U(0))
-        count = high - low
+        setting = mix(mix(before * _U(0x9E3779B97F4A7C15) + after) + which.astype(_U))
+        count = high - low - 1
         row = np.repeat(np.arange(len(place)), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        row, at = row[at != place[row]], at[at != place[row]]
-        u, w, s = which[row], h[at], mix(before * _U(0x9E3779B97F4A7C15) + after)[row]
-        first = np.unique(mix(w + mix(s + u.astype(_U))), return_index=True)[1]
-        return u[first], w[first], s[first]
+        at += at >= place[row]
+        once = np.unique(np.stack([row.astype(_U), h[at]]), axis=1)  # a word counts once for an occurrence
+        row = once[0].astype(np.int64)
+        offsets = pa.array(np.searchsorted(row, np.arange(len(place) + 1)), pa.int32())
+        whole = np.concatenate([[_U(0)], np.cumsum(mix(once[1]), dtype=_U)])
+        print_of = whole[offsets.to_numpy()[1:]] - whole[offsets.to_numpy()[:-1]]
+        return pa.record_batch([pa.array(which.astype(np.int32)), pa.array(setting.astype(np.int64)), pa.array(print_of.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(once[1].astype(np.int64)))], ["u", "s", "p", "around"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, order = shared.value
@@ -165,11 +170,11 @@ def neighbours(docs: DataFrame, keys: np.ndarray, window: int = WINDOW) -> DataF
                 h, edges, *_ = _split(texts[i:j])
                 place, at = _found(h, known)
                 for k in range(0, len(place), 20_000):
-                    u, w, s = near(h, edges, place[k : k + 20_000], order[at[k : k + 20_000]])
-                    yield pa.record_batch([pa.array(u.astype(np.int32)), pa.array(w.astype(np.int64)), pa.array(s.astype(np.int64))], ["u", "w", "s"])
+                    yield near(h, edges, place[k : k + 20_000], order[at[k : k + 20_000]])
 
-    rows = docs.select("text").mapInArrow(run, "u int, w long, s long").distinct()
-    return rows.groupBy("u", "w").agg(F.count("*").alias("n"))
+    rows = docs.select("text").mapInArrow(run, "u int, s long, p long, around array<long>")
+    one = rows.groupBy("u", "s").agg(F.min_by("around", "p").alias("around"))
+    return one.select("u", F.explode("around").alias("w")).groupBy("u", "w").agg(F.count("*").alias("n"))
 
 
 def positive_pmi(near: DataFrame, counts: DataFrame, total: int, shift: float = 4.0, deviations: float = 2.0) -> list[tuple[int, int, str, float]]:
@@ -209,7 +214,9 @@ class WordGraph:
 
     def __init__(self, docs: DataFrame, window: int):
         self.docs, self.window = docs, window
-        counts = Workspace(docs.sparkSession, "toxic").save(word_counts(docs), "words")
+        # rarer words can't have an edge
+        self.ws = Workspace(docs.sparkSession, "toxic")
+        counts = self.ws.save(word_counts(docs).filter("n > 4"), "words")
         self.total = counts.agg(F.sum("n")).first()[0] or 1
         self.counts = counts
         self.words: dict[int, str] = {}  # hash -> spelling, in the order of the walk's vectors
@@ -226,7 +233,8 @@ class WordGraph:
         places = [self._at(int(k.astype(np.int64)), w) for k, w in zip(keys, words)]
         for p in places:
             self.edges.setdefault(p, [])
-        for u, w, word, weight in sorted(positive_pmi(neighbours(self.docs, keys, self.window), self.counts, self.total)):
+        near = self.ws.save(neighbours(self.docs, keys, self.window), f"near-{len(self.edges)}")
+        for u, w, word, weight in sorted(positive_pmi(near, self.counts, self.total)):
             self.edges[places[u]].append((self._at(w, word), weight))
 
     def walk(self, seeds: dict[str, float]) -> np.ndarray:
