@@ -82,6 +82,10 @@ def robots_gate(urls: DataFrame, rules: DataFrame, respect: bool = True) -> Data
 REGISTRY_SCHEMA = "name string, display_name string, base_url string, version_pattern string, sitemap_url string, strategy string, known_versions array<string>, latest string, content_selectors map<string,string>, include array<string>, exclude array<string>, page_type_hints map<string,array<string>>"
 
 
+def registry_frame(spark: SparkSession, rows: list[tuple] = ()) -> DataFrame:
+    return spark.createDataFrame(list(rows), REGISTRY_SCHEMA)
+
+
 def check_entry(data: dict) -> None:
     """Raises ValueError where an entry lacks what the registry needs."""
     docs = data.get("documentation")

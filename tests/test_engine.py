@@ -13,7 +13,7 @@ from paperloom.functions import url as U
 from paperloom.functions import version as V
 from paperloom.operators import changes, chunking, classify, crawl, discovery, embed, evaluate, extract, search
 from paperloom.plans.engine import Engine, roll_up
-from paperloom.sources import config, web
+from paperloom.sources import backends, config, tables, web
 from paperloom.sources.tables import Tables
 from paperloom.streaming import updates
 
@@ -257,6 +257,49 @@ def test_snapshots(spark, tmp_path):
     assert t.read("page_state").count() == 0
 
 
+def test_writes_touch_their_partitions_alone(spark, tmp_path):
+    t = Tables(spark, f"{tmp_path}/t")
+    row = lambda u, sw, v, h="a": spark.createDataFrame([(u, sw, v, h, None, None, None)], t.read("page_state").schema)
+    t.upsert("page_state", row("u", "s/w%", "1").unionByName(row("u", "s/w%", "2")).unionByName(row("u", "other", "1.10")))
+    folders = lambda: {p: f for p, f in t._manifest("page_state")[1]}
+    before = folders()
+    assert set(before) == {("s/w%", "1"), ("s/w%", "2"), ("other", "1.10")} and t.read("page_state").count() == 3  # one URL in three versions
+    t.upsert("page_state", row("u", "s/w%", "2", "b").unionByName(row("w", "s/w%", "2")))
+    after = folders()
+    assert {p for p in after if after[p] != before[p]} == {("s/w%", "2")}
+    assert sorted((r.url, r.software, r.version, r.content_hash) for r in t.read("page_state").collect()) == [("u", "other", "1.10", "a"), ("u", "s/w%", "1", "a"), ("u", "s/w%", "2", "b"), ("w", "s/w%", "2", "a")]
+    t.merge("page_state", None, spark.createDataFrame([("w", "s/w%", "2")], "url string, software string, version string"))
+    assert t.read("page_state").filter("url = 'w'").count() == 0
+    n = t._manifest("page_state")[0]
+    t.delete("page_state", F.col("software") == "s/w%")
+    assert set(folders()) == {("other", "1.10")} and folders()[("other", "1.10")] == before[("other", "1.10")] and t._manifest("page_state")[0] == n + 1
+    assert "PartitionFilters: [isnotnull(software" in t.read("page_state").filter("software = 'other'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_concurrent_writers(spark, tmp_path):
+    one, two = Tables(spark, f"{tmp_path}/t"), Tables(spark, f"{tmp_path}/t")
+    row = lambda u, sw: spark.createDataFrame([(u, sw, "1", "a", None, None, None)], one.read("page_state").schema)
+    one.upsert("page_state", row("u", "a").unionByName(row("u", "b")))
+    _, seen = two._manifest("page_state")
+    one.upsert("page_state", row("w", "a"))
+    new = two._write("page_state", row("z", "b"))
+    two._commit("page_state", seen, {("b", "1")}, lambda now: [x for x in now if x[0] != ("b", "1")] + new)  # another partition: on top
+    assert sorted(r.url for r in one.read("page_state").collect()) == ["u", "w", "z"]
+    with pytest.raises(tables.Conflict):
+        two._commit("page_state", seen, {("a", "1")}, lambda now: now)
+
+
+def test_logs_append_and_compact(spark, tmp_path):
+    t = Tables(spark, f"{tmp_path}/t")
+    for k in range(tables.SEGMENTS + 3):
+        t.upsert("crawl_queue", spark.createDataFrame([("u", k, 0, "pending"), (f"u{k}", 0, 0, "pending")], t.read("crawl_queue").schema))
+    assert t.read("crawl_queue").count() == tables.SEGMENTS + 4 and t.read("crawl_queue").filter("url = 'u'").first().depth == tables.SEGMENTS + 2
+    assert len(t._manifest("crawl_queue")[1]) <= tables.SEGMENTS
+    t.delete("crawl_queue", F.col("url") == "u")
+    t.vacuum("crawl_queue")
+    assert t.read("crawl_queue").count() == tables.SEGMENTS + 3
+
+
 def site():
     page = lambda k, links, more="": f"<html><head><title>Page {k}</title></head><body><main><h1>Page {k}</h1><p>Text of page {k}. {more}</p>" + "".join(f'<a href="{x}">{x}</a>' for x in links) + "</main></body></html>"
     base = "https://x.org/docs/1/"
@@ -273,7 +316,38 @@ def test_crawl_levels_resume_and_limits(spark, tmp_path):
     assert got.count() == 2
     got = crawl.crawl(t, [base], fetch, rules, resume=True)
     assert sorted(r.url[-1] for r in got.collect()) == ["1", "a", "b", "c"]
-    assert {r.status: r.n for r in crawl.queue_stats(t.read("crawl_queue")).collect()} == {"completed": 4, "failed": 2}
+    assert {r.status: r.n for r in crawl.queue_stats(t.read("crawl_queue")).collect()} == {"completed": 4, "failed": 1, "skipped": 1}
+
+
+def counting(rows, spark):
+    """A source that answers from rows and notes what it was asked."""
+    asked = []
+    inner = crawl.table_fetcher(spark.createDataFrame(rows, crawl.FETCHED))
+
+    def fetch(urls):
+        asked.extend(r.asDict() for r in urls.collect())
+        return inner(urls)
+
+    return fetch, asked
+
+
+def test_crawl_obeys_robots_and_its_cache(spark, tmp_path):
+    base, rows = site()
+    rows = [(u, c, h, f"tag-{k}", "yesterday") for k, (u, c, h, _, _) in enumerate(rows)]
+    fetch, asked = counting(rows + [("https://x.org/robots.txt", 200, "User-agent: *\nDisallow: /docs/1/private/", None, None)], spark)
+    t = Tables(spark, f"{tmp_path}/t")
+    assert crawl.crawl(t, [base], fetch, respect_robots=True).count() == 4
+    assert sum(a["url"].endswith("robots.txt") for a in asked) == 1 and not any("private" in a["url"] for a in asked)
+    asked.clear()
+    assert crawl.crawl(t, [base], fetch, respect_robots=True).count() == 4
+    assert {a["url"] for a in asked} == {"https://x.org/robots.txt", "https://x.org/docs/1/missing"}  # the rest from the cache
+    t.replace("response_cache", t.read("response_cache").withColumn("expires_at", F.lit("2000-01-01").cast("timestamp")))
+    same = [(u, 304, None, None, None) for u, *_ in rows]
+    fetch, asked = counting(same, spark)
+    assert crawl.crawl(t, [base], fetch).count() == 5 - 1 + 1 and {a["etag"] for a in asked if a["url"].endswith("/a")} == {"tag-1"}
+    assert "Text of page 1" in t.read("response_cache").filter("url like '%/a'").first().html and tables.cached(t).count() >= 4
+    crawl.clear(t), crawl.clear(t, "response_cache")
+    assert t.read("crawl_queue").count() == t.read("response_cache").count() == 0
 
 
 def test_http_fetcher_tries_again(spark):
@@ -296,7 +370,7 @@ def test_engine_from_index_to_delete(spark, tmp_path):
     with Engine(spark, reg, c) as e:
         e.events.on("*", lambda name, data: heard.append(name))
         r = e.index("sw", fetch=crawl.table_fetcher(pages))
-        assert (r.status, r.pages, r.chunks) == ("completed", 4, 4) and heard == ["index_started", "index_completed"]
+        assert (r.status, r.pages, r.chunks) == ("completed", 4, 4) and heard == ["index_started", "embedding_progress", "index_completed"]
         assert e.stats("sw") == {"software": "sw", "versions": 1, "pages": 4, "chunks": 4}
         best = e.search("missing page 3", "sw", k=2).first()
         assert best.title == "Page 3" and best.score > 0.3
@@ -317,6 +391,160 @@ def test_engine_from_index_to_delete(spark, tmp_path):
             embed.provider("none")
 
 
+def knowledge_base(spark, tmp_path, reg=None, **over):
+    c = config.load_config(environ={}, user_file="/none", project_file="/none", overrides={"general": {"data_dir": f"{tmp_path}/kb"}, "embeddings": {"model": "bag-256"}, "chunker": {"min_chunk_size": 1}, **over})
+    return Engine(spark, reg, c)
+
+
+def pages_of(spark, host, n, more="", tag=None):
+    rows = [(f"https://{host}/docs/{k}", 200, f"<main><h1>Page {k}</h1><p>{host} text {k} {more if k == 1 else ''}</p></main>", tag, None) for k in range(n)]
+    return spark.createDataFrame(rows, crawl.FETCHED)
+
+
+def urls_of(e, software):
+    return sorted(r.url for r in e.tables.read("page_state").filter(F.col("software") == software).collect())
+
+
+def test_update_of_all_keeps_softwares_apart(spark, tmp_path):
+    with knowledge_base(spark, tmp_path) as e:
+        a, b = pages_of(spark, "a.org", 3), pages_of(spark, "b.org", 2)
+        e.index("a", "1", pages=a), e.index("b", "1", pages=b)
+        out = e.update(pages=pages_of(spark, "a.org", 2, "new").unionByName(b))
+        assert [(r.software, r.status) for r in out] == [("a", "completed"), ("b", "completed")] and set(out[0].seconds) == {"detect", "process", "embed", "store"}
+        assert urls_of(e, "a") == ["https://a.org/docs/0", "https://a.org/docs/1"] and urls_of(e, "b") == ["https://b.org/docs/0", "https://b.org/docs/1"]
+        assert e.stats("a")["chunks"] == 2 and e.stats("b")["chunks"] == 2
+        assert out[0].embedded == 1 and e.search("new", "a", k=1).first().url == "https://a.org/docs/1"
+
+
+def test_pages_of_two_versions_are_both_kept(spark, tmp_path):
+    with knowledge_base(spark, tmp_path) as e:
+        e.index("a", "1", pages=pages_of(spark, "a.org", 2)), e.index("a", "2", pages=pages_of(spark, "a.org", 3))
+        assert e.stats("a") == {"software": "a", "versions": 2, "pages": 5, "chunks": 5}
+        assert e.versions("a") == ["1", "2"] and e.exists("a", "2") and e.version_info("a", "2")["page_count"] == 3
+        e.update("a", pages=pages_of(spark, "a.org", 1))
+        assert e.tables.read("page_state").groupBy("version").count().orderBy("version").collect() == [("1", 2), ("2", 1)]
+        e.set_latest("a", "1")
+        assert e._version("a", None) == "1" and e.marked_latest("a") == "1"
+        e.delete("a", "1")
+        assert e.versions("a") == ["2"] and e.tables.read("chunk_state").count() == 1
+
+
+def test_update_fetches_under_conditions(spark, tmp_path):
+    with knowledge_base(spark, tmp_path) as e:
+        e.index("a", "1", pages=pages_of(spark, "a.org", 3, tag="t"))
+        now = pages_of(spark, "a.org", 2, "fresh words", tag="t2").filter("url like '%/1'").unionByName(spark.createDataFrame([("https://a.org/docs/0", 304, None, None, None)], crawl.FETCHED))
+        asked = []
+
+        def fetch(urls):
+            asked.extend(urls.collect())
+            return crawl.table_fetcher(now)(urls)
+
+        r = e.update("a", fetch=fetch)[0]  # /0 unchanged, /1 changed, /2 without an answer
+        assert (r.status, r.pages, r.embedded) == ("completed", 1, 1) and {x.etag for x in asked} == {"t"} and len(urls_of(e, "a")) == 3
+        assert e.tables.read("page_state").filter("url like '%/1'").first().etag == "t2"
+        with pytest.raises(ValueError):
+            e.update("a")
+
+        def broken(urls):
+            raise OSError("no network")
+
+        assert e.update(fetch=broken)[0].status == "failed"
+        assert [x.status for x in e.runs("a", 9).collect()].count("failed") == 1
+
+
+def test_update_by_sitemap_fetches_what_changed(spark, tmp_path):
+    reg = spark.createDataFrame([("a", "A", "https://a.org/docs", None, "https://a.org/map.xml", "explicit", ["1"], "1", {}, [], [], {})], web.REGISTRY_SCHEMA)
+    entry = lambda k, day: f"<url><loc>https://a.org/docs/{k}</loc><lastmod>2024-01-{day}</lastmod></url>"
+    index = ("https://a.org/map.xml", 200, "<sitemapindex><sitemap><loc>https://a.org/sub.xml</loc></sitemap></sitemapindex>", None, None)
+    store = lambda days, more="": pages_of(spark, "a.org", 3, more).unionByName(spark.createDataFrame([index, ("https://a.org/sub.xml", 200, "<urlset>" + "".join(entry(k, d) for k, d in days.items()) + "<url><loc>https://b.org/x</loc></url></urlset>", None, None)], crawl.FETCHED))
+    with knowledge_base(spark, tmp_path, reg) as e:
+        e.index("a", "1", pages=pages_of(spark, "a.org", 2))
+        assert e.update("a", fetch=crawl.table_fetcher(store({0: "01", 1: "01", 2: "01"})))[0].pages == 3 and len(urls_of(e, "a")) == 3
+        r = e.update("a", fetch=crawl.table_fetcher(store({0: "01", 1: "02"}, "later")))[0]
+        assert (r.pages, r.embedded) == (1, 1) and urls_of(e, "a") == ["https://a.org/docs/0", "https://a.org/docs/1"]
+
+
+def test_index_discovers_places_and_versions(spark, tmp_path):
+    doc = "<html><head><title>Tool documentation</title></head><body><nav class='toc'><a href='/guide'>guide</a></nav><main><h1>API reference</h1><p>Tool documentation tutorial guide</p><pre><code>x</code></pre></main></body></html>"
+    fetch = crawl.table_fetcher(spark.createDataFrame([("https://docs.tool.com/", 200, doc, None, None), ("https://docs.tool.com", 200, doc, None, None), ("https://z.io/docs/2/", 200, doc, None, None)], crawl.FETCHED))
+    reg = spark.createDataFrame([("z", "Zed", "https://z.io/docs", "https://z.io/docs/{version}/", None, "url_enumeration", ["3", "2", "1"], "3", {}, [], [], {})], web.REGISTRY_SCHEMA)
+    with knowledge_base(spark, tmp_path, reg, crawler={"respect_robots": False}) as e:
+        found = e.discover("tool", fetch)
+        assert found["base_url"] == "https://docs.tool.com/" and found["latest_version"] == "latest"
+        assert e.index("tool", fetch=fetch).pages == 1 and e.versions("tool") == ["latest"]
+        assert e.discover("https://docs.tool.com/", fetch)["base_url"] == "https://docs.tool.com/"
+        assert e.discover("z", fetch)["versions"] == ["2"] and e.discover("z")["versions"] == ["3", "2", "1"]
+        heard = []
+        e.events.on("discovery_failed", lambda name, data: heard.append(data["software"]))
+        assert e.discover("z", lambda urls: 1 / 0)["versions"] == ["3", "2", "1"] and heard == ["z"]
+
+
+def test_extractor_and_classifier_can_be_replaced(spark, tmp_path):
+    with knowledge_base(spark, tmp_path) as e:
+        e.classifier = lambda pages, hints: pages.withColumn("page_type", F.lit("faq")).withColumn("confidence", F.lit(1.0))
+        e.index("a", "1", pages=pages_of(spark, "a.org", 1))
+        assert e.vectors.read("a").first().page_type == "faq"
+
+
+def file_service(at):
+    """A service that notes what it is told; a class of its own, so that tasks get it by value."""
+
+    class FileService:
+        def _log(self, *what):
+            import json
+            import uuid
+
+            with open(f"{at}/{uuid.uuid4().hex}.json", "w") as f:
+                json.dump(what, f, default=str)
+
+        def upsert(self, collection, points):
+            self._log("upsert", collection, points)
+
+        def delete(self, collection, ids):
+            self._log("delete", collection, ids)
+
+        def search(self, collection, vector, k, condition):
+            self._log("search", collection, condition)
+            import json
+            import pathlib
+
+            points = [p for f in pathlib.Path(at).glob("*.json") for kind, c, some in [json.loads(f.read_text())] if kind == "upsert" and c == collection for p in some]
+            return [(p["id"], sum(x * y for x, y in zip(vector, p["vector"]))) for p in points][:k]
+
+    return FileService
+
+
+@pytest.mark.parametrize("name", ["qdrant", "weaviate", "chroma", "lance"])
+def test_service_backends(spark, tmp_path, name):
+    import json
+
+    (tmp_path / "log").mkdir()
+    at = str(tmp_path / "log")
+    c = config.load_config(environ={}, user_file="/none", project_file="/none", overrides={"general": {"data_dir": f"{tmp_path}/kb"}, "embeddings": {"model": "bag-256"}, "chunker": {"min_chunk_size": 1}})
+    c["storage"] |= {"backend": name, "connect": file_service(at), "batch": 2}
+    with Engine(spark, None, c) as e:
+        e.index("a", "1", pages=pages_of(spark, "a.org", 3))
+        e.update("a", pages=pages_of(spark, "a.org", 2))
+        log = [json.loads(f.read_text()) for f in (tmp_path / "log").glob("*.json")]
+        points = [p for kind, _, some in log if kind == "upsert" for p in some]
+        assert len(points) == 3 and sum(len(some) for kind, _, some in log if kind == "delete") == 1 and all(len(p["vector"]) == 256 for p in points)
+        hits = e.search("text 1", "a", k=5, filters={"page_type": "unknown", "url": ["x", "y"]}).collect()
+        assert len(hits) == 2 and hits[0].score >= hits[1].score and e.stats("a")["chunks"] == 2
+        asked = [json.loads(f.read_text())[2] for f in (tmp_path / "log").glob("*.json") if json.loads(f.read_text())[0] == "search"][0]
+        assert {"qdrant": lambda x: len(x["must"]) == 2, "weaviate": lambda x: x["operator"] == "And", "chroma": lambda x: len(x["$and"]) == 2, "lance": lambda x: x == "page_type = 'unknown' AND url IN ('x', 'y')"}[name](asked)
+    with pytest.raises(ValueError, match="known"):
+        backends.backend("nothing", None)
+    with pytest.raises(ValueError, match="connect"):
+        backends.backend(name, Tables(spark, f"{tmp_path}/t"))
+
+
+def test_stored_metadata_is_decoded(spark):
+    df = spark.createDataFrame([('{"title": "T", "breadcrumb": ["a"], "crawl_timestamp": "2024-01-02T03:04:05+00:00"}', "2024-01-02"), ("broken", "no time"), (None, None)], "m string, t string")
+    rows = df.select(backends.decode_metadata(F.col("m")).alias("m"), backends.decode_timestamp(F.col("t")).cast("date").cast("string").alias("d")).collect()
+    assert (rows[0].m.title, rows[0].m.breadcrumb, rows[0].m.has_code, rows[0].m.page_type) == ("T", ["a"], False, "unknown") and rows[0].m.crawl_timestamp.year == 2024
+    assert rows[1].m.title == rows[2].m.url == "" and [r.d for r in rows] == ["2024-01-02", "1970-01-01", "1970-01-01"]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("a", 0), ("b", 2)], "url string, depth int")
     rows.write.parquet(f"{tmp_path}/urls")
