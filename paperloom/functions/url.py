@@ -58,11 +58,11 @@ def any_regex(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def is_allowed(url: Column, base: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+def is_allowed(url: Column, base: str | Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
     """Of the base's host, not in a folder or of a kind that holds no documentation, and within the globs."""
     p = F.when(path(url) == "", "/").otherwise(path(url))
     lower = F.lower(p)
-    ok = host(url) == F.lit(re.match(_PARTS, base)[2].lower())
+    ok = host(url) == (F.lit(re.match(_PARTS, base)[2].lower()) if isinstance(base, str) else host(base))
     ok &= ~lower.rlike("/(" + "|".join(NON_DOC_FOLDERS) + ")/")
     ok &= ~lower.rlike(r"\.(" + "|".join(NON_DOC_SUFFIXES) + ")$")
     if exclude:
@@ -89,7 +89,7 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
-def links(html: Column, url: Column, base: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
+def links(html: Column, url: Column, base: str | Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
     """Sorted distinct normal URLs of a page's hrefs that the filter lets through."""
     hrefs = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']([^"']+)["']"""), 1)
     hrefs = F.filter(hrefs, lambda x: ~x.rlike("(?i)^(javascript|mailto|tel):"))

@@ -42,7 +42,7 @@ def detect(entries: DataFrame, strategy: str, urls: DataFrame | None = None, fet
         rows = urls.join(entries.select("name", "base_url"), "name")
         base, own = F.regexp_replace(U.path(F.col("base_url")), "/+$", ""), U.path(F.col("loc"))
         rest = F.when(own.startswith(base), F.substr(own, F.length(base) + 1)).otherwise(own)
-        first = F.element_at(F.filter(F.split(rest, "/"), lambda x: x != ""), 1)
+        first = F.get(F.filter(F.split(rest, "/"), lambda x: x != ""), 0)
         found = rows.select("name", first.alias("version")).filter(V.looks_like(F.col("version"))).distinct()
         newest = F.sort_array(F.collect_list(F.struct(V.path_key(F.col("version")).alias("key"), "version")), asc=False)
         return found.groupBy("name").agg(F.transform(newest, lambda x: x["version"]).alias("versions"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from .functions import url as U
 from .functions import version as V
 from .operators import changes, chunking, classify, crawl, discovery, embed, evaluate, extract, search
 from .plans import engine
-from .sources import web
+from .sources import backends, web
+from .streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -400,7 +402,35 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+def _classify_sql() -> str:
+    """The six signals spelt out: for each type the weighted sum and the place of its first signal, then the best."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    cycle = lambda xs, i: "CASE (" + i + f") % {len(xs)} " + " ".join(f"WHEN {k} THEN {quote(x)}" for k, x in enumerate(xs)) + " END"
+    some = lambda column, words: "(" + " OR ".join(f"contains({column}, {quote(w)})" for w in words.split(";")) + ")"
+    one = lambda test: f"CASE WHEN {test} THEN 1.0::DOUBLE END"
+    high, mid = "ratio > 0.4", "ratio <= 0.4 AND ratio > 0.1"
+    code = {
+        "examples": f"CASE WHEN {high} THEN least(ratio, 1.0) END", "api_reference": f"CASE WHEN {high} THEN ratio * 0.7 END", "tutorial": f"CASE WHEN {mid} THEN ratio * 1.5 END",
+        "guide": f"CASE WHEN {mid} THEN ratio WHEN ratio <= 0.1 THEN 1 - ratio END", "concepts": "CASE WHEN ratio <= 0.1 THEN 1 - ratio END",
+    }
+    rows = []
+    for k, kind in enumerate(classify.PAGE_TYPES):
+        values = [one(some("path", classify._FOLDERS[kind])), one(some("title", classify._TITLES[kind]))]
+        values.append(one(f"regexp_matches(heading, {quote('(?i)' + classify._HEADINGS[kind])})") if kind in classify._HEADINGS else "NULL")
+        values += [code.get(kind, "NULL"), one(some("crumbs", classify._TITLES[kind])), one("meta = 'page:class:faq'") if kind == "faq" else "NULL"]
+        total = " + ".join(f"coalesce({v}, 0::DOUBLE) * {w}::DOUBLE" for v, w in zip(values, (0.30, 0.25, 0.20, 0.10, 0.10, 0.05)))
+        first = "CASE " + " ".join(f"WHEN ({v}) IS NOT NULL THEN {n}" for n, v in enumerate(values)) + " ELSE 99 END"
+        rows.append(f"SELECT doc_id, {quote(kind)} AS kind, {total} AS s, {first} * 100 + {k} AS o FROM f")
+    lines = "array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 7 = 4 THEN '```sql' WHEN i % 7 = 0 THEN '```' ELSE x END), chr(10))"
+    blocks = r"list_transform(regexp_extract_all(markdown, '(?s)`{3}\w*\n(.*?)`{3}', 1), lambda x: length(regexp_replace(regexp_replace(x, '^\n+', ''), '\n+$', '')))"
+    return f"""WITH m AS (SELECT doc_id, {lines} AS markdown FROM documents),
+f AS (SELECT doc_id, lower({cycle(_PATHS, "doc_id")}) AS path, lower({cycle(_TITLES, "doc_id + doc_id // 8 % 2")}) AS title, {cycle(["Step 1", "Parameters", "Notes"], "doc_id")} AS heading,
+ lower({cycle(["Tutorial", "Home", "FAQ"], "doc_id")}) AS crumbs, 'page:class:' || {cycle(["faq", "none"], "doc_id")} AS meta, coalesce(list_sum({blocks}), 0)::DOUBLE / greatest(length(markdown), 1) AS ratio FROM m),
+a AS ({" UNION ALL ".join(rows)}), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, o) AS r FROM a)
+SELECT doc_id, CASE WHEN s >= 0.70 THEN kind ELSE 'unknown' END AS page_type, round(CASE WHEN s >= 0.70 THEN least(s, 1.0) ELSE 0 END, 6) AS confidence FROM b WHERE r = 1"""
+
+
+@query(_classify_sql())
 def classify_pages(spark, sf):
     return classify.classify(_typed(spark, sf)).select("doc_id", "page_type", six("confidence").alias("confidence"))
 
@@ -637,3 +667,196 @@ def pipeline_status(spark, sf):
     """The driver-side roll-up of three runs."""
     rows = [("a", engine.roll_up(["failed", "failed"])), ("b", engine.roll_up(["failed", "completed"])), ("c", engine.roll_up(["completed"]))]
     return spark.createDataFrame(rows, "run string, status string")
+
+
+# -- the state of an index: selects, logs, deletes and what updates leave, over rows made of the tables
+
+_LINKS_OF_OWN_HOST = rf"""WITH {_URLSQL}, h AS (SELECT page_id, url, scheme, host, path, unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS x FROM u),
+a AS (SELECT page_id, host AS own, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN x WHEN x LIKE '//%' THEN scheme || ':' || x WHEN x LIKE '/%' THEN scheme || '://' || host || x
+  WHEN x LIKE '#%' THEN url ELSE scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || x END AS x FROM h WHERE NOT regexp_matches(x, '(?i)^(javascript|mailto|tel):')),
+s AS (SELECT page_id, own, regexp_extract(x, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(x, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM a)
+SELECT page_id, count(DISTINCT path) AS n FROM s WHERE lower(host) = lower(own) AND NOT regexp_matches(lower(path), '/({_FOLDERS})/') AND NOT regexp_matches(lower(path), '\.({_SUFFIXES})$') GROUP BY page_id"""
+
+
+@query(_LINKS_OF_OWN_HOST)
+def own_host_links(spark, sf):
+    """Links of every page to its own host."""
+    links = U.links(F.col("html"), F.col("url"), F.col("url"))
+    out = table(spark, sf, "pages", busy=True).select("page_id", F.size(F.array_distinct(F.transform(links, U.path))).cast("long").alias("n"))
+    return out.filter("n > 0")
+
+
+@query("SELECT page_id, regexp_matches(p, '^/en/.*$') AS deep, regexp_matches(p, '^/[^/]*/[^/]$') AS short, regexp_matches(p, '^/..[/].*$') AND NOT contains(substr(p, 2, 2), '/') AS two FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)")
+def glob_match(spark, sf):
+    p = U.path(F.col("url"))
+    fits = lambda glob: p.rlike(U.glob_regex(glob))
+    return table(spark, sf, "pages").select("page_id", fits("/en/**").alias("deep"), fits("/*/?").alias("short"), fits("/??/**").alias("two"))
+
+
+@query("SELECT user_id AS run_id, max(event_id) AS last_event, arg_max(event_type, event_id) AS status, count(*) AS n FROM events GROUP BY 1")
+def run_log_latest(spark, sf):
+    """A run log of several rows a run, as one row a run: the last one."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("last_event"), F.col("event_type").alias("status"))
+    return changes.latest(e, ["run_id"], "last_event").join(e.groupBy("run_id").agg(F.count("*").alias("n")), "run_id")
+
+
+@query("SELECT o_orderkey AS url, CASE WHEN o_orderkey % 4 = 0 THEN 'completed' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'failed' END AS status FROM orders")
+def queue_update(spark, sf):
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("failed").alias("status"))
+    return changes.upsert(q, q.filter("url % 4 = 0").withColumn("status", F.lit("completed")), ["url"])
+
+
+@query("SELECT s_suppkey AS url, s_nationkey AS depth FROM supplier WHERE s_suppkey % 3 <> 0 ORDER BY s_nationkey, s_name, s_suppkey LIMIT 25")
+def page_cap(spark, sf):
+    q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("url"), F.col("s_nationkey").alias("depth"), F.col("s_name").alias("priority"), F.when(F.col("s_suppkey") % 3 != 0, "pending").otherwise("completed").alias("status"))
+    return changes.frontier_next(q, 25).select("url", "depth")
+
+
+@query("SELECT r_name AS software, CASE WHEN r_regionkey % 2 = 0 THEN 'v' || r_regionkey ELSE 'v0' END AS latest_version, CASE WHEN r_regionkey % 2 = 1 THEN 'kept' END AS note FROM region")
+def latest_marker(spark, sf):
+    """The marker in a software's settings, written and read back."""
+    was = F.when(F.col("r_regionkey") % 2 == 1, F.lit('{"latest_version": "v0", "note": "kept"}'))
+    r = table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("software"), was.alias("s"))
+    new = F.to_json(F.create_map(F.lit("latest_version"), F.concat(F.lit("v"), F.col("r_regionkey"))))
+    r = r.withColumn("s", F.when(F.col("r_regionkey") % 2 == 0, new).otherwise(F.col("s")))
+    return r.select("software", F.get_json_object("s", "$.latest_version").alias("latest_version"), F.get_json_object("s", "$.note").alias("note"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(date_trunc('day', ts)) ELSE 0 END AS micros FROM events")
+def decode_timestamps(spark, sf):
+    k = F.col("event_id") % 3
+    stored = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).when(k == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise("no time")
+    return table(spark, sf, "events").select("event_id", F.unix_micros(backends.decode_timestamp(stored)).alias("micros"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS title, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE lang END AS page_type, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_chars END AS chunk_index FROM documents")
+def decode_metadata(spark, sf):
+    blob = F.when(F.col("doc_id") % 5 == 0, "not json").otherwise(F.to_json(F.struct(F.col("source").alias("title"), F.col("lang").alias("page_type"), F.col("n_chars").alias("chunk_index"))))
+    m = table(spark, sf, "documents").select("doc_id", backends.decode_metadata(blob).alias("m"))
+    return m.select("doc_id", "m.title", "m.page_type", F.col("m.chunk_index").cast("long").alias("chunk_index"))
+
+
+@query("SELECT event_type AS url, count(*) AS n, count(*) FILTER (WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-10 12:00:00') AS fresh FROM events GROUP BY 1")
+def cached_responses(spark, sf):
+    """Responses and those of them that have not expired."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("url"), (F.col("ts") + F.expr("INTERVAL 168 HOURS")).alias("expires_at"))
+    return e.groupBy("url").agg(F.count("*").alias("n"), F.count_if(F.col("expires_at") > F.lit("2024-01-10 12:00:00").cast("timestamp")).alias("fresh"))
+
+
+@query("""WITH c AS (SELECT source AS software, lang AS version, doc_id FROM documents WHERE NOT (source = 'src1') AND NOT (source = 'src2' AND lang = 'en'))
+SELECT software, count(DISTINCT version) AS versions, count(*) AS chunks FROM c GROUP BY software""")
+def cascading_delete(spark, sf):
+    """What is left after one software and one version of another are deleted."""
+    c = table(spark, sf, "documents").select(F.col("source").alias("software"), F.col("lang").alias("version"), "doc_id")
+    gone = spark.createDataFrame([("src2", "en")], "software string, version string")
+    left = c.filter(F.col("software") != "src1").join(F.broadcast(gone), ["software", "version"], "left_anti")
+    return left.groupBy("software").agg(F.count_distinct("version").alias("versions"), F.count("*").alias("chunks"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE source = 'src3' AND lang = 'en' AND doc_id BETWEEN 10 AND 5000")
+def state_select(spark, sf):
+    return table(spark, sf, "documents").filter((F.col("source") == "src3") & (F.col("lang") == "en") & F.col("doc_id").between(10, 5000)).select("doc_id", "n_chars")
+
+
+@query(f"""WITH {_STATE}, d AS (SELECT coalesce(loc, url) AS url, lastmod, last_modified, CASE WHEN url IS NULL THEN 'new' WHEN loc IS NULL THEN 'removed' WHEN lastmod = last_modified AND lastmod <> '' THEN 'unchanged' ELSE 'changed' END AS c FROM sm FULL JOIN st ON loc = url)
+SELECT url, CASE WHEN c = 'unchanged' THEN last_modified ELSE lastmod END AS last_modified FROM d WHERE c <> 'removed'""")
+def incremental_update(spark, sf):
+    """The page state after a sitemap's changes were taken over."""
+    d, url = table(spark, sf, "documents"), F.concat(F.lit("u/"), F.col("doc_id"))
+    sm = d.filter("doc_id % 7 <> 0").select(url.alias("loc"), F.when(F.col("doc_id") % 6 != 0, (F.col("n_chars") % 3).cast("string")).alias("lastmod"), F.lit(0).alias("seq"))
+    st = d.filter("doc_id % 11 <> 0").select(url.alias("url"), (F.col("n_chars") % 3 + (F.col("doc_id") % 5 == 0).cast("long")).cast("string").alias("last_modified"))
+    delta = changes.detect_changes(sm, st)
+    kept = st.join(delta.filter("change_type = 'removed'").select("url"), "url", "left_anti")
+    return changes.upsert(kept, delta.filter("change_type in ('new', 'changed')").select("url", F.col("lastmod").alias("last_modified")), ["url"])
+
+
+@query("SELECT count(*) AS done, count(DISTINCT text) AS embedded, count(DISTINCT text) FILTER (WHERE doc_id % 3 = 0) AS cached FROM documents")
+def embed_once(spark, sf):
+    """Rows with vectors, texts that were embedded, and how many a second run finds in the cache of the first's third."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.md5("text").alias("content_hash"))
+    none = spark.createDataFrame([], "model_name string, content_hash string, vector array<float>, created_at timestamp")
+    done, new = embed.embed_chunks(d, none, "hash-8")
+    hits = changes.cache_split(d.filter("doc_id % 3 = 0").select("content_hash").distinct(), new.drop("created_at"), "hash-8").filter("cached_vector is not null")
+    counted = lambda df, name: df.agg(F.count("*").alias(name))
+    return counted(done, "done").crossJoin(counted(new, "embedded")).crossJoin(counted(hits, "cached"))  # three single rows
+
+
+_BRANDS = "SELECT p_brand AS name, p_size AS a, p_partkey AS k FROM part"
+
+
+@query(f"WITH b AS ({_BRANDS}) SELECT name, string_agg(v, ',' ORDER BY a DESC) AS versions FROM (SELECT DISTINCT name, a, 'v' || a AS v FROM b WHERE k % 3 <> 0) GROUP BY name")
+def versions_of_sitemap(spark, sf):
+    p = table(spark, sf, "part")
+    base = F.concat(F.lit("https://x.org/"), F.replace("p_brand", F.lit("#"), F.lit("-")))
+    urls = p.filter("p_partkey % 3 <> 0").select(F.col("p_brand").alias("name"), F.concat(base, F.lit("/v"), F.col("p_size"), F.lit("/intro")).alias("loc"))
+    urls = urls.unionByName(p.select(F.col("p_brand").alias("name"), F.concat(base, F.when(F.col("p_size") == 1, "").otherwise(F.concat(F.lit("/guide/"), F.col("p_size")))).alias("loc")))
+    out = discovery.detect(p.select(F.col("p_brand").alias("name"), base.alias("base_url")).distinct(), "sitemap", urls=urls)
+    return out.select("name", F.array_join("versions", ",").alias("versions"))
+
+
+@query("SELECT lower(n_name) AS name, array_to_string(list_filter(['3', '2', '1'], lambda v: (n_nationkey + v::INT) % 3 <> 0), ',') AS versions FROM nation")
+def versions_by_url(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", F.lower("n_name").alias("name"))
+    entries = n.select("name", F.lit(None).cast("string").alias("version_pattern"), F.concat(F.lit("https://"), F.col("name"), F.lit(".org")).alias("base_url"), F.array(*[F.lit(v) for v in "321"]).alias("known_versions"))
+    v = n.select("n_nationkey", "name", F.explode(F.array(*[F.lit(v) for v in "1234"])).alias("v"))
+    fetches = v.select(F.concat(F.lit("https://"), F.col("name"), F.lit(".org/"), F.col("v"), F.lit("/")).alias("url"), F.when((F.col("n_nationkey") + F.col("v").cast("int")) % 3 == 0, 404).otherwise(200).alias("status_code"))
+    return discovery.detect(entries, "url_enumeration", fetches=fetches).select("name", F.array_join("versions", ",").alias("versions"))
+
+
+@query("SELECT lower(r_name) AS name, '2,1' AS versions FROM region")
+def versions_known(spark, sf):
+    entries = table(spark, sf, "region").select(F.lower("r_name").alias("name"), F.array(F.lit("2"), F.lit("1")).alias("known_versions"))
+    return discovery.detect(entries, "explicit").select("name", F.array_join("versions", ",").alias("versions"))
+
+
+@query("SELECT r_name AS host, 'v' || r_regionkey || ',v9' AS versions FROM region WHERE r_regionkey <> 2")
+def versions_of_dropdown(spark, sf):
+    r = table(spark, sf, "region")
+    url = F.concat(F.lit("https://"), F.col("r_regionkey"), F.lit(".org"))
+    html = F.concat(F.lit('<select class="version"><option value="v'), F.col("r_regionkey"), F.lit('">v'), F.col("r_regionkey"), F.lit('</option><option value="v9">v9</option></select>'))
+    pages = r.filter("r_regionkey <> 2").select(url.alias("url"), html.alias("html"))
+    return discovery.detect(r.select(F.col("r_name").alias("name"), url.alias("base_url")), "dropdown_scraping", fetches=pages).select(F.col("name").alias("host"), F.array_join("versions", ",").alias("versions"))
+
+
+@query("SELECT 'https://x.org/p' || p_partkey AS loc FROM part WHERE p_size < 20 UNION ALL SELECT 'https://x.org/root' AS loc")
+def sitemap_tree(spark, sf):
+    """All URLs under a root sitemap that is an index of one sitemap for each size below 20."""
+    p = table(spark, sf, "part").filter("p_size < 20")
+    name = F.concat(F.lit("https://x.org/s"), F.col("p_size"), F.lit(".xml"))
+    one = F.concat(F.lit("<url><loc>https://x.org/p"), F.col("p_partkey"), F.lit("</loc></url>"))
+    maps = p.groupBy(name.alias("url")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(one), ""), F.lit("</urlset>")).alias("xml"))
+    child = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
+    root = maps.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(child), ""), F.lit("<sitemap><loc>https://x.org/gone.xml</loc></sitemap></sitemapindex><url><loc>https://x.org/root</loc></url>")).alias("xml"))
+    store = maps.unionByName(root.select(F.lit("https://x.org/sitemap.xml").alias("url"), "xml"))
+    return web.sitemap_tree(store, "https://x.org/sitemap.xml").select("loc")
+
+
+@query("SELECT lower(n_name) AS host, CASE WHEN n_nationkey % 2 = 0 THEN '/private/,/tmp' ELSE '/tmp' END AS disallowed, CASE WHEN n_nationkey % 3 = 0 THEN 1.5::DOUBLE END AS crawl_delay, 'https://x.org/s.xml' AS sitemaps FROM nation")
+def robots_parse(spark, sf):
+    n = table(spark, sf, "nation")
+    own = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "Disallow: /private/ # ours\n").otherwise(""), F.lit("Disallow: /tmp\n"), F.when(F.col("n_nationkey") % 3 == 0, "Crawl-delay: 1.5\n").otherwise(""))
+    robots = F.concat(F.lit("User-agent: other\nDisallow: /x\n\nUser-agent: *\n"), own, F.lit("Disallow:\nUser-agent: third\nDisallow: /y\nSitemap: https://x.org/s.xml"))
+    out = web.robots(n.select(F.lower("n_name").alias("host"), robots.alias("robots")))
+    return out.select("host", F.array_join("disallowed", ",").alias("disallowed"), "crawl_delay", F.array_join("sitemaps", ",").alias("sitemaps"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'c++' WHEN 2 THEN 'sql' END AS language FROM documents")
+def class_language(spark, sf):
+    css = F.element_at(F.array(*[F.lit(x) for x in ("code language-Python", "language-c++ wide", "highlight-SQL notranslate", "plain")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", text.class_language(css).alias("language"))
+
+
+@query("SELECT DISTINCT software, version FROM (SELECT source AS software, lang AS version FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, 'latest' FROM documents)")
+def versions_union(spark, sf):
+    d = table(spark, sf, "documents")
+    known = d.filter("doc_id % 2 = 0").select(F.col("source").alias("software"), F.col("lang").alias("version"))
+    return known.unionByName(d.select(F.col("source").alias("software"), F.lit("latest").alias("version"))).distinct()
+
+
+@query("SELECT url, min(depth) AS depth FROM (SELECT regexp_extract(url, '^([^?]*)', 1) AS url, (page_id % 5)::INT AS depth FROM pages) GROUP BY url")
+def stream_first_seen(spark, sf):
+    """The stateful filter of a streamed frontier, over the pages' URLs as a stream."""
+    ensure_importable(spark)
+    pages = spark.readStream.schema("page_id long, url string, html string").parquet(f"{sf.rstrip('/')}/pages.parquet*")
+    urls = pages.select(F.regexp_extract("url", r"^([^?]*)", 1).alias("url"), (F.col("page_id") % 5).cast("int").alias("depth"))
+    return updates.to_completion(updates.first_seen(urls), f"first_seen_{uuid.uuid4().hex}")
