@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans.engine import Engine
-from .sources.config import load_config
+from .sources.config import load_with_sources
 from .sources.web import registry
 
 
@@ -35,7 +35,8 @@ def parser() -> argparse.ArgumentParser:
     x = c.add_parser("delete", help="remove a software or one of its versions")
     x.add_argument("software"), x.add_argument("--version")
     c.add_parser("list", help="what is indexed")
-    c.add_parser("config", help="the settings in force")
+    x = c.add_parser("config", help="the settings in force")
+    x.add_argument("--source", action="store_true", help="say where each comes from")
     return p
 
 
@@ -45,9 +46,14 @@ def shortened(text: str, most: int = 80) -> str:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    config = load_config(overrides={"general": {"data_dir": a.data_dir}} if a.data_dir else None)
+    config, source = load_with_sources(overrides={"general": {"data_dir": a.data_dir}} if a.data_dir else None)
     if a.command == "config":
-        print(json.dumps(config, indent=2))
+        if a.source:
+            for section, values in config.items():
+                for key, value in values.items():
+                    print(f"{section}.{key}  {json.dumps(value)}  {source[section][key]}")
+        else:
+            print(json.dumps(config, indent=2))
         return 0
     spark = spark or SparkSession.builder.appName("paperloom").getOrCreate()
     e = Engine(spark, registry(spark, a.registry) if a.registry else None, config)

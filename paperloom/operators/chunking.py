@@ -8,6 +8,7 @@ Column expressions in functions.text.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -193,9 +194,10 @@ def register(name: str, strategy: Callable[[str, str, int, int], list[Section]],
     _BY_TYPE.update(dict.fromkeys(page_types, name))
 
 
-def chunk_texts(markdown: str | None, title: str | None, strategy: str, target: int = 512, most: int = 1024, least: int = 64, n_overlap: int = 64) -> list[tuple[str, str]]:
+def chunk_texts(markdown: str | None, title: str | None, strategy: str | Callable, target: int = 512, most: int = 1024, least: int = 64, n_overlap: int = 64) -> list[tuple[str, str]]:
     """(label, text) of the chunks of one page; labels are those of the sections by place, as merging keeps none."""
-    sections = STRATEGIES[strategy](markdown or "", title or "", target, most)
+    cut = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
+    sections = cut(markdown or "", title or "", target, most)
     texts = merge_small([t for _, t in sections], least)
     return [(sections[k][0], t) for k, t in enumerate(overlap(texts, n_overlap) if len(texts) > 1 else texts)]
 
@@ -207,16 +209,24 @@ def detect_code(text: str) -> list[str]:
 
 def chunk_pages(pages: DataFrame, target: int = 512, most: int = 1024, least: int = 64, n_overlap: int = 64, strategy: str | None = None) -> DataFrame:
     """One row per chunk: the page's columns (without markdown) and content, section_heading, chunk_index,
-    total_chunks, has_code, code_languages. `strategy` overrides the choice by page_type."""
+    total_chunks, has_code, code_languages. `strategy` overrides the choice by page_type. A page on which its strategy
+    fails has no chunks."""
     ensure_importable(pages.sparkSession)
+    if strategy is not None and strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunking strategy {strategy}; known: {', '.join(sorted(STRATEGIES))}")
+    known, by_type = dict(STRATEGIES), dict(_BY_TYPE)  # goes to tasks, with what was registered here
     kind = "array<struct<section_heading:string,content:string,code_languages:array<string>>>"
 
     @F.pandas_udf(kind)
     def cut(markdown: pd.Series, title: pd.Series, page_type: pd.Series) -> pd.Series:
-        return pd.Series([
-            [{"section_heading": a, "content": b, "code_languages": detect_code(b)} for a, b in chunk_texts(m, t, strategy or strategy_of(p), target, most, least, n_overlap)]
-            for m, t, p in zip(markdown, title, page_type)
-        ])
+        return pd.Series([page(*x) for x in zip(markdown, title, page_type)])
+
+    def page(m: str, t: str, p: str) -> list[dict] | None:
+        try:
+            return [{"section_heading": a, "content": b, "code_languages": detect_code(b)} for a, b in chunk_texts(m, t, known[strategy or by_type.get(p or "", "heading")], target, most, least, n_overlap)]
+        except Exception as e:  # a strategy that fails on a page loses that page, not the job
+            warnings.warn(f"a page was skipped: {e!r}", stacklevel=2)
+            return None
 
     rest = [c for c in pages.columns if c not in ("markdown", "headings", "code_blocks", "raw_metadata")]
     # said to be non-deterministic, else it also runs for the filter that posexplode implies

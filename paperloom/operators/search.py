@@ -54,59 +54,72 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, filters: Mapp
     return rows.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "chunk_id", vector: str = "vector", qid: str = "qid", qvector: str = "qvector", block: int = 1024) -> DataFrame:
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "chunk_id", vector: str = "vector", qid: str = "qid", qvector: str = "qvector", block: int = 1024, most_bytes: int = 256 << 20) -> DataFrame:
     """The k nearest rows of each query, with `score` and `rank` from 1; scores that agree in 12 places rank by id.
 
-    Queries are taken in blocks of `block` at most, so what a task holds is bounded. In each Arrow batch one matrix
-    product scores all rows, and only k rows (and ties) of each query leave it; nothing else is shuffled. Vectors that
-    are null or of another dimension than the queries are left out.
+    One pass over the vectors serves as many queries as fit in most_bytes (a task's copy of them); more take further
+    passes. In each Arrow batch one matrix product scores a tile of `block` queries, and only k rows of each query
+    leave it; nothing else is shuffled. Vectors that are null or of another dimension than the queries are left out.
     """
     if metric not in ("cosine", "inner", "l2"):
         raise ValueError(f"unknown metric {metric}")
     ensure_importable(vectors.sparkSession)
-    n = queries.count()
-    blocks = max(1, -(-2 * n // block)) if n > block else 1
+    n, width = queries.agg(F.count("*"), F.max(F.size(qvector))).first()
+    queries = queries.filter(F.size(qvector) == F.lit(width or 0))  # a query of another dimension has no hits
+    passes = max(1, -(-(n * max(width or 1, 1) * 8) // most_bytes))
     schema = T.StructType([queries.schema[qid], *vectors.schema.fields, T.StructField("score", T.DoubleType())])
     out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b)
-        rows = part.select(qid, qvector).collect()
-        if not rows:
+    for b in range(passes):
+        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(qid), F.lit(passes)) == b)
+        rows = part.select(qid, qvector).toArrow()
+        if not rows.num_rows:
             continue
-        own = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-        nearest = vectors.mapInArrow(_nearest(own, k, metric, id_col, vector, qid), schema)
+        names, flat = rows.column(0).combine_chunks(), rows.column(1).combine_chunks()
+        q = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+        own = vectors.sparkSession.sparkContext.broadcast((names, q))
+        nearest = vectors.mapInArrow(_nearest(own, k, metric, id_col, vector, qid, block), schema)
         out = nearest if out is None else out.unionByName(nearest)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], schema.add("rank", "int"))
+        return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
     rank = F.row_number().over(W.partitionBy(qid).orderBy(F.desc(F.round("score", 12)), id_col))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _nearest(own, k: int, metric: str, id_col: str, vector: str, qid: str):
+def _best(score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k largest scores of each column, equal ones by place."""
+    if len(score) <= k:
+        at, who = np.divmod(np.arange(score.size), score.shape[1])
+    else:
+        at, who = np.nonzero(score >= np.partition(score, len(score) - k, 0)[len(score) - k])
+    order = np.lexsort((place[at], -score[at, who], who))
+    at, who = at[order], who[order]
+    first = np.searchsorted(who, who)
+    keep = np.arange(len(who)) - first < k
+    return at[keep], who[keep]
+
+
+def _nearest(own, k: int, metric: str, id_col: str, vector: str, qid: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = own.value
+        names, queries = own.value
         for batch in batches:
             column = batch.column(vector)
-            fits = np.flatnonzero(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1) == q.shape[1])
+            fits = np.flatnonzero(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1) == queries.shape[1])
             batch = batch.take(pa.array(fits))
             if not len(fits):
                 continue
             v = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
-            score = v @ q.T
-            if metric == "cosine":
-                size = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-                score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
-            elif metric == "l2":
-                score = 1 - ((v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * score)
-            score, place = np.round(score, 12), np.argsort(np.argsort(np.array(batch.column(id_col).to_pylist(), object), kind="stable"))
-            at, who = [], []
-            for j in range(len(names)):
-                s = score[:, j]
-                some = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                some = some[np.lexsort((place[some], -s[some]))][:k]
-                at.append(some), who.append(np.full(len(some), j))
-            at, who = np.concatenate(at), np.concatenate(who)
-            rows = batch.take(pa.array(at))
-            yield pa.record_batch([pa.array([names[j] for j in who]), *rows.columns, pa.array(score[at, who])], [qid, *batch.schema.names, "score"])
+            place = np.argsort(np.argsort(np.array(batch.column(id_col).to_pylist(), object), kind="stable"))
+            for j in range(0, len(queries), block):
+                q = queries[j : j + block]
+                score = v @ q.T
+                if metric == "cosine":
+                    size = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+                    score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
+                elif metric == "l2":
+                    score = 1 - ((v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * score)
+                score = np.round(score, 12)
+                at, who = _best(score, place, k)
+                rows = batch.take(pa.array(at))
+                yield pa.record_batch([names.take(pa.array(who + j)), *rows.columns, pa.array(score[at, who])], [qid, *batch.schema.names, "score"])
 
     return run

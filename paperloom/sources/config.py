@@ -42,6 +42,11 @@ def _typed(value: Any, like: Any) -> Any:
 
 def load_config(*, overrides: dict | None = None, user_file: str | None = None, project_file: str | None = None, environ: dict[str, str] | None = None) -> dict[str, dict[str, Any]]:
     """Raises ValueError for an unknown section or key and for a value out of bounds."""
+    return load_with_sources(overrides=overrides, user_file=user_file, project_file=project_file, environ=environ)[0]
+
+
+def load_with_sources(*, overrides: dict | None = None, user_file: str | None = None, project_file: str | None = None, environ: dict[str, str] | None = None) -> tuple[dict[str, dict[str, Any]], dict[str, dict[str, str]]]:
+    """(settings, where each comes from: default, user, project, environment or override)."""
     environ = os.environ if environ is None else environ
     env: dict[str, dict[str, str]] = {}
     for name, value in environ.items():
@@ -50,11 +55,13 @@ def load_config(*, overrides: dict | None = None, user_file: str | None = None,
             env.setdefault(section, {})[key] = value
     files = [_toml(Path(user_file).expanduser() if user_file else Path.home() / ".config/paperloom/config.toml"), _toml(Path(project_file) if project_file else _project_file(Path.cwd()))]
     out: dict = copy.deepcopy(DEFAULTS)
-    for layer in (*files, env, overrides or {}):
+    source = {section: dict.fromkeys(values, "default") for section, values in DEFAULTS.items()}
+    for origin, layer in zip(("user", "project", "environment", "override"), (*files, env, overrides or {})):
         for section, values in layer.items():
             for key in values:
                 if key not in DEFAULTS.get(section, {}):
                     raise ValueError(f"unknown setting {section}.{key}")
+                source[section][key] = origin
             out = merged(out, {section: {k: _typed(v, DEFAULTS[section][k]) for k, v in values.items()}})
     for (section, key), least in _LEAST.items():
         if out[section][key] < least:
@@ -63,4 +70,4 @@ def load_config(*, overrides: dict | None = None, user_file: str | None = None,
         if out[section][key] not in allowed:
             raise ValueError(f"{section}.{key} must be one of {', '.join(allowed)}")
     out["general"]["data_dir"] = str(Path(out["general"]["data_dir"]).expanduser())
-    return out
+    return out, source

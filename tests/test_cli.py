@@ -10,6 +10,8 @@ def test_commands(spark, tmp_path, capsys):
     spark.createDataFrame([("https://x.org/a", "<title>Joins</title><main><p>hash join and merge join</p></main>"), ("https://x.org/b", "<title>Sorts</title><main><p>external sort</p></main>")], "url string, html string").write.parquet(f"{tmp_path}/pages")
     run = lambda *a: (cli.main(["--data-dir", f"{tmp_path}/kb", *a], spark), capsys.readouterr())
     assert json.loads(run("config")[1].out)["general"]["data_dir"] == f"{tmp_path}/kb"
+    lines = run("config", "--source")[1].out.splitlines()
+    assert f'general.data_dir  "{tmp_path}/kb"  override' in lines and any(x.endswith("  default") for x in lines)
     code, out = run("index", "sw", "--version", "1", "--pages", f"{tmp_path}/pages")
     assert code == 0 and "completed, 2 pages, 2 chunks" in out.out
     assert json.loads(run("stats", "sw")[1].out)["chunks"] == 2 and "sw" in run("list")[1].out

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -175,10 +176,21 @@ def test_search(spark):
     for block in (1, 10):
         got = search.top_k_batch(v, q, 2, block=block).filter("qid = 'q1'").orderBy("rank").collect()
         assert [r.chunk_id for r in got] == ["c1", "c5"]
+    assert search.top_k_batch(v, q, 2, most_bytes=32).count() == 4 and search.top_k_batch(v, q.limit(0), 2).count() == 0
     with pytest.raises(ValueError):
         search.similarity(F.col("a"), F.col("b"), "other")
 
 
+@pytest.mark.parametrize("n, k", [(3, 5), (200, 4), (50, 50)])
+def test_best_of_a_tile_are_those_of_a_sort(n, k):
+    rng = random.Random(n)
+    score = np.array([[rng.randrange(5) / 4 for _ in range(7)] for _ in range(n)])
+    place = np.array(rng.sample(range(n), n))
+    at, who = search._best(score, place, k)
+    for j in range(7):
+        assert at[who == j].tolist() == sorted(range(n), key=lambda i: (-score[i, j], place[i]))[:k]
+
+
 def test_changes(spark):
     site = spark.createDataFrame([("a", "1", 0), ("b", "2", 0), ("c", None, 0), ("d", "1", 0), ("d", "9", 1)], "loc string, lastmod string, seq int")
     state = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "9"), ("e", "1")], "url string, last_modified string")
@@ -538,6 +550,48 @@ def test_service_backends(spark, tmp_path, name):
         backends.backend(name, Tables(spark, f"{tmp_path}/t"))
 
 
+def test_embedding_services(spark):
+    asked = []
+
+    def post(url, key, body):
+        asked.append((url, key, body))
+        return {"data": [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in reversed(list(enumerate(body["input"])))]}
+
+    for service, model, more in (("openai", "text-embedding-3-small", {"dimensions": 2}), ("voyage", "voyage-3", {"input_type": "document"}), ("jina", "jina-embeddings-v3", {"task": "retrieval.passage"})):
+        name = embed.register_service(service, model, "k", f"{service}-test", dimensions=2 if service == "openai" else None, per_second=200, post=post)
+        call, size, tokens = embed.provider(name)
+        assert call(["a", "bbb"]).tolist() == [[1, 1], [3, 1]] and tokens > 8000 and size == (2 if service == "openai" else 1024)
+        assert more.items() <= asked[-1][2].items() and asked[-1][1] == "k" and asked[-1][0].startswith("https://api.")
+    with pytest.raises(ValueError):
+        embed.register_service("nobody", "m")
+    with pytest.raises(ValueError):
+        embed.register_service("voyage", "unknown")
+
+    class Local:
+        def encode(self, texts, normalize_embeddings):
+            return [[1.0, 0.0] for _ in texts]
+
+    name = embed.register_local("bge-small-en", "local-test", load=lambda model: Local())
+    assert embed.provider(name)[0](["x"]).shape == (1, 2) and embed.provider(name)[1] == 384 and embed.PRESETS["bge-small-en"][0].startswith("BAAI/")
+
+
+def test_own_strategies_reach_tasks_and_failing_pages_are_skipped(spark):
+    def fails(markdown, title, target, most):
+        if "bad" in markdown:
+            raise KeyError("x")
+        return [("own", markdown)]
+
+    pages = spark.createDataFrame([("u1", "good text", "t", "guide"), ("u2", "bad text", "t", "guide")], "url string, markdown string, title string, page_type string")
+    chunking.register("fails", fails)
+    try:
+        out = chunking.chunk_pages(pages, least=1, strategy="fails").collect()
+        assert [(r.url, r.section_heading) for r in out] == [("u1", "own")]
+    finally:
+        chunking.STRATEGIES.pop("fails")
+    with pytest.raises(ValueError, match="known"):
+        chunking.chunk_pages(pages, strategy="fails")
+
+
 def test_stored_metadata_is_decoded(spark):
     df = spark.createDataFrame([('{"title": "T", "breadcrumb": ["a"], "crawl_timestamp": "2024-01-02T03:04:05+00:00"}', "2024-01-02"), ("broken", "no time"), (None, None)], "m string, t string")
     rows = df.select(backends.decode_metadata(F.col("m")).alias("m"), backends.decode_timestamp(F.col("t")).cast("date").cast("string").alias("d")).collect()
