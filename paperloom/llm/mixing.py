@@ -106,7 +106,9 @@ def decisions(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is repeated, and its first words for a partial repetition.
 
-    The columns are those of docs. Documents without words are left out as they hold nothing to mix.
+    The columns are those of docs, whatever others of their names there are here. Documents without words (null and
+    empty texts) are left out as they hold nothing to mix. Repeated rows are documents of their own; of those that tie at
+    a source's edge each gives its share of the words. Null sources are one source. An empty table stays empty.
     """
     _, sources = plan(docs, **how)
     columns = docs.columns

@@ -145,7 +145,8 @@ def verdicts(docs: DataFrame, least: int = 20, power: float = 1 / 3, depleted: i
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
-    """The documents that are kept, without their common lines; all columns. Equal rows of one doc_id stay as many."""
+    """The documents that are kept, without their common lines; all columns, whatever their names. Equal rows of one
+    doc_id stay as many; null and empty texts fail the base rule and go; an empty table stays empty."""
     ws = Workspace(docs.sparkSession, "quality-rows")
     kept = verdicts(docs, **how).filter("kept").groupBy("doc_id", "__h").agg(F.any_value("gone").alias("__gone"))
     kept = ws.save(kept.withColumnRenamed("doc_id", "__a").withColumnRenamed("__h", "__b"), "kept")

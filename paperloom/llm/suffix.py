@@ -155,7 +155,8 @@ def spans(docs: DataFrame, size: int = 400, digit: int = 100, width: int = 20) -
     """__id, __h (key of a document) and `spans`: packed (start << 32 | end) byte ranges of repeated windows, unmerged.
 
     A radix sort by most significant digits, cut off at the threshold depth, on windows in place of suffixes:
-    1. first digit: windows fall under the hash of their anchor's `digit` bytes; an anchor found once ends there;
+    1. first digit: windows fall under the hash of their anchor's `digit` bytes (not of their own first bytes: equal
+    windows share the anchor, and one run of windows is one row); an anchor found once ends there;
     2. runs of windows whose whole extent is found twice are repeated as they stand;
     3. other runs under such an anchor are split into blocks of `width` offsets, by the next digit: the bytes that all
        windows of a block share. Found once: not repeated. Equal in whole extent to another: repeated. Else the
@@ -248,7 +249,11 @@ def removals(docs: DataFrame, **how) -> DataFrame:
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
-    """docs with the repeated bytes taken out of text; bytes of a character cut in two are dropped."""
+    """docs with the repeated bytes taken out of text; bytes of a character cut in two are dropped.
+
+    All columns stay, whatever their names; null texts become empty ones, short and empty texts stay as they are,
+    repeated rows are documents of their own (whole copies of `size` bytes and more end empty), an empty table stays so.
+    """
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rest = []
