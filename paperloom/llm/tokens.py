@@ -1,26 +1,47 @@
-"""Ids of a public byte-level BPE vocabulary, remembered by word."""
+"""Ids of a public byte-level BPE vocabulary."""
 
 from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from functools import cache
-
-import numpy as np
+from itertools import islice
 
 from ._util import vocabulary_path
 
 _BLANKS = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_LONGEST, _MOST = 48, 500_000
+_LONGEST, _MOST = 48, 400_000
+_LATIN = "ɏ"
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Seen(dict):
+    """Ids by word; asks for those it lacks."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self.ask(word)
 
 
 class Encoder:
     """text -> ids as little-endian uint16, equal to the tokenizers library on the whole text.
 
-    The vocabulary's pattern never joins a word with what stands before the single blank that leads it, so a blank
-    and the word after it can be looked up by themselves; three quarters of all lookups then cost one dict access.
-    Words with letters beyond the Latin blocks and texts that hold a special token go to the library itself.
+    Texts within the Latin blocks go to the faster library as a whole. In others, as the vocabulary's pattern never
+    joins a word with what stands before the single blank that leads it, a blank and the word after it are looked up
+    by themselves among the words seen; words with letters beyond those blocks, and texts that hold a special token,
+    go to the tokenizers library itself.
     """
 
     def __init__(self, vocabulary: str = "byte_bpe_50k"):
@@ -32,32 +53,29 @@ class Encoder:
         with open(vocabulary_path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen: dict[str, bytes] = {}
+        self.seen, self.older = _Seen(self._word), {}
 
     def _ids(self, text: str) -> bytes:
-        if text and max(text) > "ɏ":
-            ids = self.exact.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u2").tobytes()
+        if text.isascii() or max(text) <= _LATIN:
+            return _packed(self.fast.encode_ordinary(text))
+        return _packed(self.exact.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        ids = self._ids(" " + word)
+        ids = self.older.get(word) or self._ids(" " + word)
         if len(word) <= _LONGEST:
-            if len(self.seen) >= _MOST:
+            if len(self.seen) >= _MOST:  # words that come again move on to the new generation
+                self.older = dict(self.seen)
                 self.seen.clear()
             self.seen[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            return _packed(self.exact.encode(text, add_special_tokens=False).ids)
+        if text.isascii() or max(text) <= _LATIN:
+            return _packed(self.fast.encode_ordinary(text))
         words = _SAFE.split(text) if _BLANKS.search(text) else text.split(" ")
-        out = [self.seen.get(w) for w in words]
-        out[0] = self._ids(words[0])
-        if None in out:
-            out = [self._word(w) if x is None else x for x, w in zip(out, words)]
-        return b"".join(out)
+        return self._ids(words[0]) + b"".join(map(self.seen.__getitem__, islice(words, 1, None)))
 
 
 @cache

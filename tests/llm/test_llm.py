@@ -286,6 +286,17 @@ def test_ids_equal_the_library():
         assert np.frombuffer(own.encode(t), "<u2").tolist() == own.exact.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_random_texts_equal_the_library(monkeypatch):
+    from paperloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "_MOST", 20)  # the remembered words change generations
+    own, rng = tokens.Encoder(), random.Random(9)
+    parts = ["a", "b", "The", "ing", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "1", "23", "'s", "'ll", "!", "??", "é", "ß", "ñ", "Ω", "日", "本", "😀", "-", "_", " ", "ɏ", "ʼ", "<|", "|>", "ﬁ", "İ", "x" * 60]
+    for _ in range(1500):
+        t = "".join(rng.choice(parts[: rng.choice([8, 22, len(parts)])]) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == own.exact.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def brute_counts(t):
     w, lines = WORDS.findall(t or ""), [x for x in (t or "").split("\n") if WORDS.search(x)]
     c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
