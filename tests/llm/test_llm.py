@@ -472,6 +472,20 @@ def test_walk_finds_words_no_labelled_document_holds(spark):
     assert [out[i] for i in range(2000)] == [int(i % 10 == 0) for i in range(2000)]
 
 
+def test_walk_goes_on_as_far_as_words_lead(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(plain, k=30))) for i in range(1200)]
+    # no labelled document holds quag, durb or flom; quag is near seeds, durb near quag and flom near durb alone
+    pairs = [("zonk", "vrill")] * 80 + [("zonk", "quag"), ("vrill", "quag")] * 40 + [("quag", "durb")] * 80 + [("durb", "flom")] * 80
+    for k, (a, b) in enumerate(pairs):
+        rows.append((2000 + k, " ".join([*rng.choices(plain, k=2), a, rng.choice(plain), b, *rng.choices(plain, k=2)])))
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(400)] + [(2000 + k, 1, 1) for k in range(80)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.induce(make(spark, rows), lab, least=0.001)
+    polarity = dict(zip(lexicon.words, lexicon.polarity))
+    assert polarity["zonk"] > 0.5 and polarity["quag"] > polarity["durb"] > polarity["flom"] > 0
+
+
 def test_neighbours_count_settings(spark):
     docs = make(spark, [(1, "aa bb x aa"), (2, "CC, bb"), (3, None), (4, "aa bb x aa"), (5, "x aa bb cc")])
     keys = toxicity.word_keys(["aa", "bb"])
