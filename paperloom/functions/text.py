@@ -66,10 +66,15 @@ def overlap(texts: Column, n: int) -> Column:
     return F.transform(texts, lambda t, i: F.when((i == 0) | (lead(F.greatest(i, F.lit(1))) == ""), t).otherwise(F.concat(lead(F.greatest(i, F.lit(1))), F.lit("\n\n"), t)))
 
 
+#: A line like a heading; the blanks are those of RE2, and a line may hold any other character.
+_HEADING = r"(?s)^#{1,6}[\t\n\f\r ]+([^\t\n\f\r ].*)\z"
+
+
 def headings(markdown: Column) -> Column:
-    """Texts of all lines like a heading, those inside fences too."""
-    lines = F.transform(F.split(markdown, r"\n", -1), F.trim)
-    return F.transform(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s+\S")), lambda x: F.regexp_extract(x, r"^(?:#{1,6})\s+(\S.*)$", 1))
+    """Texts of all lines like a heading, those inside fences too; blanks around a line go, those of any script (Zs)."""
+    # a lambda, as F.trim itself would get the line's number as the characters to trim
+    lines = F.transform(F.split(markdown, r"\n", -1), lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", ""))
+    return F.transform(F.filter(lines, lambda x: x.rlike(_HEADING)), lambda x: F.regexp_extract(x, _HEADING, 1))
 
 
 def code_blocks(markdown: Column) -> Column:

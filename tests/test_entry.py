@@ -58,3 +58,13 @@ def test_pages_are_classified_by_whole_texts(spark):
 def test_entry_imports_without_optional_parts(tmp_path):
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['paperloom.llm'] = None\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries()) and len(e.oracle_sql()) > 40"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_headings_equal_sql_on_odd_lines(spark, tmp_path):
+    texts = ["call 8970", "0 a\nb\nc\n3 d 33", "\n".join(f"{i} x {i}" for i in range(24)), " a  \n\n\n\u00a0b\u3000", "a\r\nb\r\nc\r\nd\r", "\x0b\n\n\n\x85e\u2028f", " \n\n\n\t\t", "#a\n## b\n# \r", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["headings"]).fetchall()
+    got = [tuple(r) for r in queries.headings(spark, str(tmp_path)).collect()]
+    assert len(want) == 7 and sorted(got) == sorted(want)
