@@ -58,8 +58,10 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str
     """The k nearest rows of each query, with `score` and `rank` from 1; scores that agree in 12 places rank by id.
 
     One pass over the vectors serves as many queries as fit in most_bytes (a task's copy of them); more take further
-    passes. In each Arrow batch one matrix product scores a tile of `block` queries, and only k rows of each query
-    leave it; nothing else is shuffled. Vectors that are null or of another dimension than the queries are left out.
+    passes. Matrix products score a tile of `block` queries against so many rows of an Arrow batch that the scores take
+    4 MB at most, whatever the tables' sizes, and at most k rows of each query leave a batch: those below k others of
+    the task's are left out. Nothing else is shuffled. Vectors that are null or of another dimension than the queries
+    are left out.
     """
     if metric not in ("cosine", "inner", "l2"):
         raise ValueError(f"unknown metric {metric}")
@@ -90,36 +92,68 @@ def _best(score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.
     if len(score) <= k:
         at, who = np.divmod(np.arange(score.size), score.shape[1])
     else:
-        at, who = np.nonzero(score >= np.partition(score, len(score) - k, 0)[len(score) - k])
-    order = np.lexsort((place[at], -score[at, who], who))
-    at, who = at[order], who[order]
-    first = np.searchsorted(who, who)
-    keep = np.arange(len(who)) - first < k
+        at, who = np.nonzero(~(score < np.partition(score, len(score) - k, 0)[len(score) - k]))
+    keep = _first(who, score[at, who], place[at], k)
     return at[keep], who[keep]
 
 
+def _first(who: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest scores of each who are, equal ones by place; no number is above all numbers, as in SQL."""
+    order = np.lexsort((place, -np.where(np.isnan(score), np.inf, score), who))
+    mine = who[order]
+    return order[np.arange(len(mine)) - np.searchsorted(mine, mine) < k]
+
+
+#: Bytes of the scores that a task has at once, and rows that it hands on at once.
+_TILE, _ROWS = 4 << 20, 8192
+
+
 def _nearest(own, k: int, metric: str, id_col: str, vector: str, qid: str, block: int):
+    def scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+        score = v @ q.T
+        if metric == "cosine":
+            size = np.multiply.outer(np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1)))
+            fits = size != 0
+            np.divide(score, size, out=score, where=fits)
+            score[~fits] = 0
+        elif metric == "l2":
+            score *= -2
+            score += np.add.outer((v * v).sum(1), (q * q).sum(1))
+            np.subtract(1, score, out=score)
+        return score
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = own.value
+        wide = max(1, min(block, _TILE // (8 * max(k, 1))))
+        least = np.full(len(queries), -np.inf)  # k rows of each query have this score or more, in the batches so far
         for batch in batches:
             column = batch.column(vector)
             fits = np.flatnonzero(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1) == queries.shape[1])
-            batch = batch.take(pa.array(fits))
             if not len(fits):
                 continue
-            v = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+            if len(fits) < len(batch):
+                batch = batch.take(pa.array(fits))
+            v = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(len(fits), -1)
             place = np.argsort(np.argsort(np.array(batch.column(id_col).to_pylist(), object), kind="stable"))
-            for j in range(0, len(queries), block):
-                q = queries[j : j + block]
-                score = v @ q.T
-                if metric == "cosine":
-                    size = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-                    score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
-                elif metric == "l2":
-                    score = 1 - ((v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * score)
-                score = np.round(score, 12)
-                at, who = _best(score, place, k)
-                rows = batch.take(pa.array(at))
-                yield pa.record_batch([names.take(pa.array(who + j)), *rows.columns, pa.array(score[at, who])], [qid, *batch.schema.names, "score"])
+            for j in range(0, len(queries), wide):
+                q, floor = queries[j : j + wide], least[j : j + wide]
+                high = max(1, _TILE // (8 * len(q)))
+                at, who, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for i in range(0, len(v), high):
+                    some = scores(v[i : i + high].astype(np.float64), q)
+                    a, w = np.nonzero(~(some < floor - (1e-12 + 1e-14 * np.abs(floor))))  # less by what rounding may add
+                    if not len(a):
+                        continue
+                    if len(a) > 4 * k * len(q):
+                        some = np.round(some, 12)
+                        a, w = _best(some, place[i : i + high], k)
+                    at, who, score = np.concatenate([at, a + i]), np.concatenate([who, w]), np.concatenate([score, np.round(some[a, w], 12)])
+                    keep = _first(who, score, place[at], k)
+                    at, who, score = at[keep], who[keep], score[keep]
+                    last = np.flatnonzero(np.arange(len(who)) - np.searchsorted(who, who) == k - 1)
+                    floor[who[last]] = np.fmax(floor[who[last]], score[last])
+                for b in range(0, len(at), _ROWS):
+                    rows = batch.take(pa.array(at[b : b + _ROWS]))
+                    yield pa.record_batch([names.take(pa.array(who[b : b + _ROWS] + j)), *rows.columns, pa.array(score[b : b + _ROWS])], [qid, *batch.schema.names, "score"])
 
     return run

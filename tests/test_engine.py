@@ -191,6 +191,43 @@ def test_best_of_a_tile_are_those_of_a_sort(n, k):
         assert at[who == j].tolist() == sorted(range(n), key=lambda i: (-score[i, j], place[i]))[:k]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "inner", "l2"])
+def test_nearest_takes_the_same_memory_at_every_size(metric):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    v, q, k = rng.integers(-3, 4, (12_000, 8)).astype(np.float32), rng.integers(-3, 4, (1500, 8)).astype(float), 3
+    v[7] = 0
+    ids = rng.permutation(len(v))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(v), pa.list_(pa.float32()))], ["id", "vector"])
+    own = SimpleNamespace(value=(pa.array(np.arange(len(q))), q))
+    tracemalloc.start()
+    got = list(search._nearest(own, k, metric, "id", "vector", "qid", 1024)(iter([rows[:9000], rows[9000:]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and max(b.num_rows for b in got) <= search._ROWS
+    best = {}
+    for b in got:
+        for r in b.to_pylist():
+            best.setdefault(r["qid"], []).append((-round(r["score"], 12), r["id"]))
+    for j in range(0, len(q), 37):
+        score = v.astype(float) @ q[j] if metric != "l2" else 1 - ((v - q[j]) ** 2).sum(1)
+        if metric == "cosine":
+            size = np.linalg.norm(v.astype(float), axis=1) * np.linalg.norm(q[j])
+            score = np.divide(score, size, out=np.zeros(len(v)), where=size > 0)
+        assert sorted(best[j])[:k] == sorted(zip((-np.round(score, 12)).tolist(), ids.tolist(), strict=True))[:k]
+
+
+def test_nearest_is_no_number_first(spark):
+    v = spark.createDataFrame([("a", [float("nan"), 1.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "chunk_id string, vector array<float>").coalesce(1)
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, qvector array<float>")
+    assert [r.chunk_id for r in search.top_k_batch(v, q, 2).orderBy("rank").collect()] == ["a", "b"]
+    assert [r.chunk_id for r in search.top_k(v, [1.0, 0.0], 2).collect()] == ["a", "b"]
+
+
 def test_changes(spark):
     site = spark.createDataFrame([("a", "1", 0), ("b", "2", 0), ("c", None, 0), ("d", "1", 0), ("d", "9", 1)], "loc string, lastmod string, seq int")
     state = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "9"), ("e", "1")], "url string, last_modified string")
