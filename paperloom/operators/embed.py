@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +125,23 @@ def embed_texts(rows: DataFrame, model: str, text: str = "content", batch: int =
     ensure_importable(rows.sparkSession)
     call, _, _ = provider(model)
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vectors(some: list[str]) -> list:
+        for k in range(attempts):
+            try:
+                return [None if v is None else np.asarray(v, np.float32) for v in call(some)]
+            except OSError:
+                if k + 1 == attempts:
+                    return [None] * len(some)
+        return []
+
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            out: list = []
-            for at in range(0, len(part), batch):
-                some = [t or "" for t in part.iloc[at : at + batch]]
-                for k in range(attempts):
-                    try:
-                        out.extend(call(some))
-                        break
-                    except OSError:
-                        if k + 1 == attempts:
-                            out.extend([None] * len(some))
-            yield pd.Series(out)
+            # texts leave Arrow and vectors enter it a few at a time: what Python holds doesn't grow with the part's rows
+            for at in range(0, len(part), 16 * batch):
+                some = part.slice(at, 16 * batch)
+                yield pa.concat_arrays([pa.array(vectors([t or "" for t in some.slice(k, batch).to_pylist()]), pa.list_(pa.float32())) for k in range(0, len(some), batch)])
+            some = part = None  # before the next one is read
 
     # said to be non-deterministic so that the filter doesn't run it a second time
     return rows.withColumn("vector", run.asNondeterministic()(text)).filter("vector is not null and size(vector) > 0")

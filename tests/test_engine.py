@@ -612,6 +612,21 @@ def test_embedding_services(spark):
     assert embed.provider(name)[0](["x"]).shape == (1, 2) and embed.provider(name)[1] == 384 and embed.PRESETS["bge-small-en"][0].startswith("BAAI/")
 
 
+def test_embedding_holds_a_few_texts_at_a_time(spark):
+    def blocks(texts):
+        import sys
+
+        return [None if t == "skip" else [sys.getallocatedblocks(), float(len(t))] for t in texts]
+
+    embed.register("blocks-test", blocks, 2)
+    rows = spark.range(0, 25_000, 1, 1).selectExpr("id", "case when id % 1000 = 7 then 'skip' when id % 1000 = 8 then null else repeat('x', cast(200 + id % 100 as int)) end as t")
+    got = embed.embed_texts(rows, "blocks-test", "t").collect()
+    assert {r.id for r in got} == {k for k in range(25_000) if k % 1000 != 7}
+    assert all(r.vector[1] == (0 if r.id % 1000 == 8 else 200 + r.id % 100) for r in got)
+    held = [r.vector[0] for r in got if r.id >= 2000]
+    assert max(held) - min(held) < 5000
+
+
 def test_own_strategies_reach_tasks_and_failing_pages_are_skipped(spark):
     def fails(markdown, title, target, most):
         if "bad" in markdown:
