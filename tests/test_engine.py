@@ -221,6 +221,23 @@ def test_nearest_takes_the_same_memory_at_every_size(metric):
         assert sorted(best[j])[:k] == sorted(zip((-np.round(score, 12)).tolist(), ids.tolist(), strict=True))[:k]
 
 
+def test_ten_nearest_for_the_metrics_are_found_in_little_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    v = np.random.default_rng(2).normal(size=(10_000, 8)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(list(v), pa.list_(pa.float32()))], ["vec_id", "vector"])
+    own = SimpleNamespace(value=(pa.array(np.arange(0, len(v), 25)), v[::25].astype(float)))
+    tracemalloc.start()
+    got = [r for b in search._nearest(own, 10, "cosine", "vec_id", "vector", "qid", 1024)(iter([rows])) for r in b.select(["qid", "vec_id"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and len(got) == 10 * 400
+    assert sum(r["qid"] == r["vec_id"] for r in got) == 400
+
+
 def test_nearest_is_no_number_first(spark):
     v = spark.createDataFrame([("a", [float("nan"), 1.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0])], "chunk_id string, vector array<float>").coalesce(1)
     q = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, qvector array<float>")
